@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, mixing, quality, sharding, simhash, urls
+from . import chat, knn, mixing, quality, sharding, simhash, tokens, urls
 from .common import documents
 
 
@@ -26,6 +26,22 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    sha = lambda c: F.sha2(c, 256)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(tokens.encode_documents(documents(spark, sf_dir), tokenizer_path()))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -44,7 +60,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.linear_messages(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_extendible_shards, op5_exact_top_k, op6_simhash_near_dedup, op8_url_filters, op9_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_extendible_shards, op5_exact_top_k, op6_simhash_near_dedup, op7_bpe_encoding, op8_url_filters, op9_source_mixing, op10_chat_formatting)}
 
 SIZES = r"SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents"
 
