@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, mixing, quality, sharding, simhash, tokens, urls
+from . import chat, knn, mixing, quality, sharding, simhash, suffixes, tokens, urls
 from .common import documents
 
 
@@ -13,6 +13,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -60,7 +65,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.linear_messages(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_extendible_shards, op5_exact_top_k, op6_simhash_near_dedup, op7_bpe_encoding, op8_url_filters, op9_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_extendible_shards, op5_exact_top_k, op6_simhash_near_dedup, op7_bpe_encoding, op8_url_filters, op9_source_mixing, op10_chat_formatting)}
 
 SIZES = r"SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents"
 
