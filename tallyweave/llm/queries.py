@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, mixing, quality, sharding, simhash, suffixes, tokens, urls
+from . import chat, knn, mixing, quality, sharding, simhash, suffixes, tokens, toxicity, urls
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -65,7 +69,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.linear_messages(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_extendible_shards, op5_exact_top_k, op6_simhash_near_dedup, op7_bpe_encoding, op8_url_filters, op9_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_extendible_shards, op4_toxicity, op5_exact_top_k, op6_simhash_near_dedup, op7_bpe_encoding, op8_url_filters, op9_source_mixing, op10_chat_formatting)}
 
 SIZES = r"SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents"
 
