@@ -135,6 +135,23 @@ def _measured(rules: QualityRules):
     return run
 
 
+def _passing(rules: QualityRules, at_text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = Measure(rules)
+        for batch in batches:
+            at, data = flat(batch.column(at_text))
+            for i, j in slices(at):
+                kept = measure(at[i : j + 1] - at[i], data[at[i] : at[j]])[6]
+                yield batch.slice(i, j - i).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows whose text the rules keep, all columns as they are."""
+    return docs.mapInArrow(_passing(rules, docs.columns.index("text")), docs.schema)
+
+
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Counts and verdict of each document (``doc_id``, ``text``)."""
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_measured(rules), SCHEMA)

@@ -38,7 +38,7 @@ CHUNK_BYTES = 8 << 20
 KEY_SHARD, SEGMENT_SHARD, SORT_BATCH = 48 << 20, 16 << 20, 1 << 20
 #: Documents with one minimizer beyond which its strings are dealt one by one.
 CROWD = 4096
-CHUNK_SCHEMA = "chunk long, ids binary, at binary, blob binary, n_bytes long"
+CHUNK_SCHEMA = "chunk long, ids binary, at binary, blob binary, n_bytes long, rest binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans binary"
 
 
@@ -50,8 +50,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j in slices(at, CHUNK_BYTES):
             own = at[i : j + 1] - at[i]
-            row = [[n], [ids[i:j].tobytes()], [own.tobytes()], [squeeze.compress(data[at[i] : at[j]].tobytes())], [int(own[-1])]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], ["chunk", "ids", "at", "blob", "n_bytes"])
+            rest = pa.BufferOutputStream()
+            with pa.ipc.new_stream(rest, batch.schema.empty_table().select(batch.schema.names[2:]).schema) as out:
+                out.write_batch(batch.slice(i, j - i).select(batch.schema.names[2:]))
+            row = [[n], [ids[i:j].tobytes()], [own.tobytes()], [squeeze.compress(data[at[i] : at[j]].tobytes())], [int(own[-1])], [squeeze.compress(rest.getvalue())]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], ["chunk", "ids", "at", "blob", "n_bytes", "rest"])
             n += 1
 
 
@@ -358,41 +361,67 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "spans"])
 
 
-def _cut(chunks: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's documents without the bytes that go."""
-    if not len(chunks):
-        return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
-    ids, at, raw = _unpack(*(chunks[c].iloc[0] for c in ("ids", "at", "blob")))
-    gone = _merged(np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans["spans"]])) if len(spans) else np.zeros((0, 2), np.int64)
-    rows = []
-    # Spans lie inside documents, but two can touch where documents do.
-    first, last = np.searchsorted(gone[:, 1], at[:-1], "right"), np.searchsorted(gone[:, 0], at[1:], "left")
-    for d, a, b, i, j in zip(ids.tolist(), at[:-1].tolist(), at[1:].tolist(), first, last):
-        mine = np.clip(gone[i:j], a, b)
-        kept, here = [], a
-        for s, e in mine.tolist():
-            kept.append(raw[here:s])
-            here = e
-        kept.append(raw[here:b])
-        rows.append((d, b - a, int((mine[:, 1] - mine[:, 0]).sum()), len(mine), b"".join(kept), (mine - a).tobytes()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _cut(carried: tuple[str, ...]):
+    def run(chunks: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+        """A chunk's documents without the bytes that go."""
+        names = [c.split()[0] for c in RESULT.split(", ")]
+        if not len(chunks):
+            return pd.DataFrame({c: [] for c in (*names, *carried)})
+        ids, at, raw = _unpack(*(chunks[c].iloc[0] for c in ("ids", "at", "blob")))
+        gone = _merged(np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans["spans"]])) if len(spans) else np.zeros((0, 2), np.int64)
+        rows = []
+        # Spans lie inside documents, but two can touch where documents do.
+        first, last = np.searchsorted(gone[:, 1], at[:-1], "right"), np.searchsorted(gone[:, 0], at[1:], "left")
+        for d, a, b, i, j in zip(ids.tolist(), at[:-1].tolist(), at[1:].tolist(), first, last):
+            mine = np.clip(gone[i:j], a, b)
+            kept, here = [], a
+            for s, e in mine.tolist():
+                kept.append(raw[here:s])
+                here = e
+            kept.append(raw[here:b])
+            rows.append((d, b - a, int((mine[:, 1] - mine[:, 0]).sum()), len(mine), b"".join(kept), (mine - a).tobytes()))
+        out = pd.DataFrame(rows, columns=names)
+        if carried:
+            rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(chunks["rest"].iloc[0])).read_all()
+            for c in carried:
+                out[c] = rest.column(c).to_pandas(types_mapper=pd.ArrowDtype).astype(object).where(lambda v: v.notna(), None)
+        return out
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept, spans)`` for each row; ``kept``: the remaining bytes; ``spans``:
-    start and end of each removed run, int64 pairs."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text")
+    start and end of each removed run, int64 pairs.  Columns named in ``carry`` come along."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    result = ", ".join([RESULT, *(f"`{c}` {kinds[c]}" for c in carry)])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     chunks = materialize(docs.where("doc_id is not null").mapInArrow(_packed, CHUNK_SCHEMA), "uncompressed")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = lambda share: max(6, (total // share).bit_length())
-    keys = chunks.mapInArrow(_keys_out(bits(KEY_SHARD)), "bucket int, chunk long, keys binary, counts binary")
+    texts = chunks.drop("rest")
+    keys = texts.mapInArrow(_keys_out(bits(KEY_SHARD)), "bucket int, chunk long, keys binary, counts binary")
     codes = keys.groupBy("bucket").applyInPandas(_codes, "chunk long, bucket int, codes binary")
-    pack = chunks.groupBy("chunk")
-    segments = pack.cogroup(codes.groupBy("chunk")).applyInPandas(_segments_out(bits(SEGMENT_SHARD)), "bucket long, chunk long, payload binary")
+    segments = texts.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(_segments_out(bits(SEGMENT_SHARD)), "bucket long, chunk long, payload binary")
     gone = segments.groupBy("bucket").applyInPandas(_compared, "chunk long, spans binary")
-    out = pack.cogroup(gone.groupBy("chunk")).applyInPandas(_cut, RESULT)
+    out = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_cut(carry), result)
     bare = docs.where("doc_id is null").select(
         F.lit(None).cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.col("text").cast("binary").alias("kept"), F.lit(b"").cast("binary").alias("spans"),
+        F.col("text").cast("binary").alias("kept"), F.lit(b"").cast("binary").alias("spans"), *carry,
     )
     return out.unionByName(bare)
+
+
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.names.index("kept")
+        text = pa.array([(b or b"").decode("utf-8", "ignore") for b in batch.column(at).to_pylist()], pa.string())
+        yield batch.set_column(at, pa.field("kept", pa.string()), text)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their remaining text, all columns as they were; characters cut in two by a span go whole."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = remove_repeats(docs, carry).select("doc_id", "kept", *carry)
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in found.schema)
+    return found.mapInArrow(_as_text, kinds).withColumnRenamed("kept", "text").select(*docs.columns)
