@@ -7,8 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PARSED = "headers array<string>, rows array<map<string,string>>"
+PARSED = T.StructType().add("headers", T.ArrayType(T.StringType())).add("rows", T.ArrayType(T.MapType(T.StringType(), T.StringType())))
 BLANK = " \t\n\r\x0b\x0c\xa0﻿  "
 
 
