@@ -1,42 +1,19 @@
-"""Shared pieces: durable intermediate tables, and texts as flat byte arrays."""
+"""Shared pieces: texts as flat byte arrays, their hashes, and durable intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialize as materialize
+
 #: Bytes that separate words: space and the controls 9 to 13.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A private one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
-
-    The files go when the application's file system closes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
