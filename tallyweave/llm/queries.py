@@ -71,9 +71,35 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_extendible_shards, op4_toxicity, op5_exact_top_k, op6_simhash_near_dedup, op7_bpe_encoding, op8_url_filters, op9_source_mixing, op10_chat_formatting)}
 
-SIZES = r"SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents"
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def _covered(n: int) -> str:
+    """SQL: the words of each document inside windows of n words that occur in it twice or more."""
+    ahead = " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER o" for j in range(1, n))])
+    return f"""g{n} AS (SELECT doc_id, i, {ahead} AS gram FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        k{n} AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g{n} WHERE gram IS NOT NULL), (SELECT unnest(range({n})) AS j) WHERE c > 1),
+        c{n} AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM k{n} JOIN p USING (doc_id, i) GROUP BY doc_id)"""
+
+
+QUALITY_SQL = f"""
+    WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORDS}) AS ws FROM documents),
+    p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+    {", ".join(map(_covered, (3, *quality.QualityRules().ngrams)))},
+    l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS no FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, {WORDS})),
+    dup AS (SELECT doc_id, count(*) AS n, sum(length(line)) AS chars FROM l WHERE no > 1 GROUP BY doc_id),
+    m AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                 coalesce(dup.n, 0) AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, length(t) AS text_chars, coalesce(dup.chars, 0) AS dup_line_chars,
+                 coalesce(c5.chars, 0) AS dup5_chars, coalesce(c7.chars, 0) AS dup7_chars, coalesce(c10.chars, 0) AS dup10_chars
+          FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN c7 USING (doc_id) LEFT JOIN c10 USING (doc_id)),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND dup_line_chars <= 0.5 * text_chars AND n_symbols <= 0.1 * word_chars AND dup5_chars <= 0.5 * word_chars AND dup7_chars <= 0.45 * word_chars AND dup10_chars <= 0.4 * word_chars AS kept,
+           text_chars, CAST(dup_line_chars AS BIGINT) AS dup_line_chars, CAST(dup5_chars AS BIGINT) AS dup5_chars, CAST(dup7_chars AS BIGINT) AS dup7_chars, CAST(dup10_chars AS BIGINT) AS dup10_chars
+    FROM f"""
 
 ORACLES = {
+    "op1_quality_rules": QUALITY_SQL,
     "op5_exact_top_k": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
