@@ -35,7 +35,7 @@ from .common import RollingHash, flat, materialize, mix, slices
 WIDTH, GRAM = 50, 25
 CHUNK_BYTES = 8 << 20
 #: Text bytes for each shard of minimizers, and of segments; suffixes sorted at once.
-KEY_SHARD, SEGMENT_SHARD, SORT_BATCH = 48 << 20, 16 << 20, 1 << 20
+KEY_SHARD, SEGMENT_SHARD, SORT_BATCH = 48 << 20, 2 << 20, 1 << 20
 #: Documents with one minimizer beyond which its strings are dealt one by one.
 CROWD = 4096
 CHUNK_SCHEMA = "chunk long, ids binary, at binary, blob binary, n_bytes long, rest binary"
