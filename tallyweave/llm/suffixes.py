@@ -399,10 +399,10 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     chunks = materialize(docs.where("doc_id is not null").mapInArrow(_packed, CHUNK_SCHEMA), "uncompressed")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = lambda share: max(6, (total // share).bit_length())
-    texts = chunks.drop("rest")
-    keys = texts.mapInArrow(_keys_out(bits(KEY_SHARD)), "bucket int, chunk long, keys binary, counts binary")
+    keys = chunks.drop("rest").mapInArrow(_keys_out(bits(KEY_SHARD)), "bucket int, chunk long, keys binary, counts binary")
     codes = keys.groupBy("bucket").applyInPandas(_codes, "chunk long, bucket int, codes binary")
-    segments = texts.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(_segments_out(bits(SEGMENT_SHARD)), "bucket long, chunk long, payload binary")
+    # Both cogroups read the same columns, so that one exchange of the chunks serves them.
+    segments = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(_segments_out(bits(SEGMENT_SHARD)), "bucket long, chunk long, payload binary")
     gone = segments.groupBy("bucket").applyInPandas(_compared, "chunk long, spans binary")
     out = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_cut(carry), result)
     bare = docs.where("doc_id is null").select(
