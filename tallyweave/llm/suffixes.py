@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import RollingHash, flat, materialize, mix, slices
 
 WIDTH, GRAM = 50, 25
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Text bytes for each shard of minimizers, and of segments; suffixes sorted at once.
 KEY_SHARD, SEGMENT_SHARD, SORT_BATCH = 48 << 20, 2 << 20, 1 << 20
 #: Documents with one minimizer beyond which its strings are dealt one by one.
