@@ -49,12 +49,11 @@ class ChunkCoder:
         return [x.ids for x in found]
 
     def probe(self) -> None:
-        """Find out which shortcuts this tokenizer allows; each is tried on samples, and checked again in use."""
+        """Find out whether tokens end words; it is tried on samples, and counted again in use."""
         names, one = self.names, lambda *w: self.direct([b" ".join(w)])[0]
         ends = np.array([n.endswith("</w>") for n in names], bool)
         samples = (b"word", b"abcdefgh", b"x", "\u00fcber".encode())
         self.ends = ends if all(np.count_nonzero(ends[one(w)]) == 1 for w in samples) else None
-        self.parts_at = tuple(m for m in (b".", b",") if all(one(w + m) == one(w) + one(m) for w in samples))
 
     def words(self, group: list[bytes]) -> None:
         """Learn pieces of letters only.  One text of them all is cut after each token that ends a word; there are as
@@ -75,30 +74,16 @@ class ChunkCoder:
             self.held += 4 * len(x) + 190
 
     def learn(self, words: set[bytes]) -> None:
-        """Remember the ids of each piece."""
-        known, marks = self.pieces, self.parts_at
-        letters, others, split = set(), [], []
+        """Remember the ids of each piece.  Normalizing may end letters in a mark, so a word and its full stop or comma
+        are one piece."""
+        letters, others = [], []
         for w in words:
-            if w in known:
-                continue
-            head = w[:-1] if w[-1:] in marks else w
-            if self.ends is None or not head.decode().isalpha():
-                others.append(w)
-                continue
-            if head not in known:
-                letters.add(head)
-            if head is not w:
-                split.append(w)
-                if w[-1:] not in known:
-                    self.alone([w[-1:]])
-        letters = list(letters)
+            if w not in self.pieces:
+                (letters if self.ends is not None and w.decode().isalpha() else others).append(w)
         for i in range(0, len(letters), 2048):
             self.words(letters[i : i + 2048])
         for i in range(0, len(others), 2048):
             self.alone(others[i : i + 2048])
-        for w in split:
-            known[w] = known[w[:-1]] + known[w[-1:]]
-        self.held += 190 * len(split)
 
     def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Positions of ``data`` where chunks begin: text starts, and ends of windows whose hash meets the condition."""

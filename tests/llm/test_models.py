@@ -23,6 +23,17 @@ def test_tokens_round_trip(spark, docs, rows, nothing):
     assert tokens.encode_documents(nothing, tokenizer_path()).collect() == []
 
 
+def test_letters_that_normalize_to_marks():
+    """NFC or lower case ends these words of letters in a combining mark, which takes the full stop or comma along."""
+    from tokenizers import Tokenizer
+
+    words = ["\u09b9\u09df", "\u09a1\u09dc", "\u0915\u095c", "\ufb2a", "A\u0130", "word"]
+    texts = [f"so {w}{m} and {w} {w}{m} end" for w in words for m in ".,"]
+    coder = tokens.ChunkCoder(Tokenizer.from_file(tokenizer_path()))
+    got = coder.encode([t.encode() for t in texts], [[0]] * len(texts))
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == coder.direct([t.encode() for t in texts])
+
+
 def test_disagreeing_joins_are_repaired():
     """A tokenizer that merges across white space: every join disagrees until the stretch is the whole text."""
 
