@@ -5,8 +5,8 @@ boxes; equal vectors are one point with its smallest ids.  A query walks a tree
 product its box allows, and stops where no box can reach the kth score known so far.  That score is propagated: each
 block of queries first searches one shard, and the score it reaches bounds its search of every other shard.
 
-Defined results: vectors null, empty, or with null or non-finite components take no part, as query or candidate; null
-ids neither; only vectors of equal length meet; rows that repeat an id and vector count once; other columns are
+Defined results: vectors null, empty, or with null or non-finite components take no part, as query or candidate; nor
+do those with a component of 2**31 or more after scaling (8,388,608 before it at scale 256); null ids neither; only vectors of equal length meet; rows that repeat an id and vector count once; other columns are
 ignored; an empty table gives an empty table.
 """
 
