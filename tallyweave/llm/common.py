@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +22,52 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release() -> None:
+    """Give freed memory back to the system.  Spark keeps Python workers for later tasks, so what an idle one still
+    holds stands beside what the busy ones need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that releases its task's memory when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """As ``tidy``, for a function of one group's table."""
+
+    def wrapped(rows):
+        try:
+            return run(rows)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_groups(run: Callable) -> Callable:
+    """As ``tidy``, for a function of the tables of two groups."""
+
+    def wrapped(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return wrapped
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, n + 1) and bytes of a string column; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,111 +1,152 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A text is cut where a rolling hash of its last bytes meets a condition, so equal passages of different documents are
-cut alike and each distinct chunk of a task is encoded once.  A chunk keeps its whole inner pieces (what stands between
-white space) as ids, and its ragged edges as bytes.  Where two chunks meet, the edges between the nearest white space
-are encoded anew, together with their neighbours: if the neighbours come out as before, the join is exact; if not, the
-stretch grows on both sides until they do, in the end to the whole text.
+A text is cut at the first white space behind each place where a rolling hash of the last bytes meets a condition, so
+equal passages of different documents are cut alike.  Each distinct chunk of a task is encoded once, as a whole.  Every
+join of two chunks is then checked: the last words of the left and the first of the right are encoded apart and
+together.  Where both agree with the chunks' own ids the join is exact; where they do not, the words around the join
+are taken from the common encoding, as soon as the ids further out agree on both sides; if no stretch of the two chunks
+agrees, the whole text is encoded anew.
 
 Sharing is within a task: one shared by all tasks would send every text through a shuffle, and the ids back.
 
 Defined results: a null text is an empty text with no ids; repeated rows give repeated rows; an empty table gives an
 empty table; other columns are ignored.  Strings of special tokens inside a text become those tokens, as the tokenizer
-does it.
+does it.  A text without white space is one chunk.
 """
 
 from __future__ import annotations
 
-import gc
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, flat, slices
+from .common import SEPARATOR, RollingHash, flat, slices, tidy
 
 SCHEMA = "doc_id long, token_ids array<int>, decoded string"
-#: White space on which every tokenizer here parts words, and only there.
-SPACE = b" \t\n\r"
-WINDOW, MASK = 32, (1 << 11) - 1
+#: Bytes under the rolling hash; a chunk ends where ``BITS`` bits of it are zero, about every 2 KB.
+WINDOW, BITS = 32, 11
+#: Bytes whose hashes are made at once.
+STRETCH = 1 << 18
+BLANKS = bytes(32 if SEPARATOR[c] else c for c in range(256))
 
 
 class ChunkCoder:
-    """Encodes texts by shared chunks.  ``room`` bounds the bytes of remembered chunks and pieces; beyond, both start anew."""
+    """Encodes texts by shared chunks.  ``room`` bounds the bytes of remembered chunks and joins; beyond, both start
+    anew."""
 
-    def __init__(self, tokenizer, room: int = 160 << 20):
+    def __init__(self, tokenizer, room: int = 32 << 20):
         self.tokenizer, self.room, self.held = tokenizer, room, 0
-        self.pieces: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
-        self.exact: dict[tuple[bytes, bytes, bytes], bool] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        self.joins: dict[tuple[bytes, bytes], tuple[bytes, bytes, bytes]] = {}
         self.hash = RollingHash()
         self.names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.plain = self.tokenizer.decoder is None  # decoding then joins the tokens' names with spaces
-        self.probe()
-
-    def direct(self, texts: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
-        return [x.ids for x in found]
-
-    def probe(self) -> None:
-        """Find out whether tokens end words; it is tried on samples, and counted again in use."""
-        names, one = self.names, lambda *w: self.direct([b" ".join(w)])[0]
-        ends = np.array([n.endswith("</w>") for n in names], bool)
-        samples = (b"word", b"abcdefgh", b"x", "\u00fcber".encode())
-        self.ends = ends if all(np.count_nonzero(ends[one(w)]) == 1 for w in samples) else None
-
-    def words(self, group: list[bytes]) -> None:
-        """Learn pieces of letters only.  One text of them all is cut after each token that ends a word; there are as
-        many such tokens as pieces only if each piece has exactly one."""
-        ids = np.array(self.direct([b" ".join(group)])[0], np.int32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(group) or (len(ids) and stops[-1] != len(ids)):
-            return self.alone(group)
-        raw, at = ids.tobytes(), 0
-        for w, stop in zip(group, (4 * stops).tolist()):
-            self.pieces[w] = raw[at:stop]
-            at = stop
-        self.held += len(raw) + 190 * len(group)
-
-    def alone(self, group: list[bytes]) -> None:
-        for w, x in zip(group, self.direct(group)):
-            self.pieces[w] = array("i", x).tobytes()
-            self.held += 4 * len(x) + 190
-
-    def learn(self, words: set[bytes]) -> None:
-        """Remember the ids of each piece.  Normalizing may end letters in a mark, so a word and its full stop or comma
-        are one piece."""
-        letters, others = [], []
-        for w in words:
-            if w not in self.pieces:
-                (letters if self.ends is not None and w.decode().isalpha() else others).append(w)
-        for i in range(0, len(letters), 2048):
-            self.words(letters[i : i + 2048])
-        for i in range(0, len(others), 2048):
-            self.alone(others[i : i + 2048])
+        self.plain = tokenizer.decoder is None  # decoding then joins the tokens' names with spaces
+        added = [str(t.content).encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        # A special token that holds white space must fit between the ends that are compared.
+        self.reach = max((2 * len(t) for t in added if len(t.split()) > 1), default=0)
+
+    def direct(self, texts: list[bytes]) -> list[bytes]:
+        """The ids (int32) of texts, each encoded as it stands."""
+        out = []
+        for i in range(0, len(texts), 256):
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts[i : i + 256]], add_special_tokens=False)
+            out += [np.array(x.ids, np.int32).tobytes() for x in found]
+        return out
 
     def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Positions of ``data`` where chunks begin: text starts, and ends of windows whose hash meets the condition."""
-        if len(data) <= WINDOW:
+        """Positions of ``data`` where chunks begin: the starts of texts (offsets ``at``), and the first white space at
+        or behind each window inside a text whose hash meets the condition."""
+        hits = []
+        for i in range(0, len(data) - WINDOW, STRETCH):
+            part = data[i : i + STRETCH + WINDOW]
+            sums = self.hash.sums(part)
+            start = np.arange(min(STRETCH, len(part) - WINDOW))
+            hits.append(np.flatnonzero(self.hash.ranges(sums, start, start + WINDOW) >> np.uint64(64 - BITS) == 0) + i)
+        if not hits:
             return at[:-1]
-        sums = self.hash.sums(data)
-        start = np.arange(len(data) - WINDOW)
-        hashes = self.hash.ranges(sums, start, start + WINDOW)
-        hit = np.flatnonzero((hashes >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
-        hit = hit[(data[hit] & 0xC0) != 0x80]
-        return np.union1d(at[:-1], hit)
-
-    def parts(self, chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
-        """Ragged head, whole inner part and ragged tail; None if the chunk has no white space."""
-        spots = [i for i in map(chunk.find, (b" ", b"\t", b"\n", b"\r")) if i >= 0]
-        if not spots:
-            return None
-        first, last = min(spots), max(map(chunk.rfind, (b" ", b"\t", b"\n", b"\r")))
-        return chunk[:first], chunk[first:last], chunk[last + 1 :]
-
-    def ids_of(self, inner: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _split(inner)))
+        hit, blank = np.concatenate(hits), np.flatnonzero(SEPARATOR[data])
+        after = np.searchsorted(blank, hit + WINDOW)
+        hit, after = hit[after < len(blank)], after[after < len(blank)]
+        spot = blank[after]
+        return np.union1d(at[:-1], spot[np.searchsorted(at, hit, "right") == np.searchsorted(at, spot, "right")])
+
+    def tail(self, chunk: bytes, words: int) -> int:
+        """Where the last ``words`` words of a chunk begin, with the white space before them."""
+        at, text = len(chunk), chunk.translate(BLANKS)
+        for _ in range(words):
+            at = text.rfind(b" ", 0, len(text[:at].rstrip(b" ")))
+            if at < 0:
+                return 0
+        at = len(text[:at].rstrip(b" "))
+        return at if len(chunk) - at >= self.reach else self.tail(chunk, 2 * words)
+
+    def head(self, chunk: bytes, words: int) -> int:
+        """Where the first ``words`` words of a chunk end."""
+        at, text = 0, chunk.translate(BLANKS)
+        for _ in range(words):
+            at = text.find(b" ", len(text) - len(text[at:].lstrip(b" ")))
+            if at < 0:
+                return len(chunk)
+        return at if at >= self.reach else self.head(chunk, 2 * words)
+
+    def ends(self, left: bytes, right: bytes, words: int) -> tuple[bytes, bytes]:
+        return left[self.tail(left, words) :], right[: self.head(right, words)]
+
+    def learn(self, pairs: set[tuple[bytes, bytes]]) -> None:
+        """Remember for each tail and head their ids: of the tail, of both together, of the head."""
+        new = [p for p in pairs if p not in self.joins]
+        apart = {t for p in new for t in p}
+        of = dict(zip(apart, self.direct(list(apart))))
+        for (a, b), both in zip(new, self.direct([a + b for a, b in new])):
+            self.joins[a, b] = of[a], both, of[b]
+            self.held += 2 * (len(a) + len(b)) + 3 * len(both) + 400
+
+    def repair(self, left: bytes, right: bytes) -> tuple[int, bytes, int] | None:
+        """How two neighbouring chunks join: bytes of ids to drop from the left's end, ids to put there, and bytes to
+        drop from the right's start.  None if no stretch of the two agrees."""
+        words = 2
+        while True:
+            a, b = self.ends(left, right, words)
+            self.learn({(a, b)})
+            of_a, both, of_b = self.joins[a, b]
+            if self.chunks[left].endswith(of_a) and self.chunks[right].startswith(of_b):
+                if both == of_a + of_b:
+                    return 0, b"", 0
+                # The outer halves must come out alike alone, beside their own neighbours and across the join.
+                far_a, far_b = a[: self.tail(a, words // 2)], b[self.head(b, words // 2) :]
+                if far_a and far_b:
+                    out_a, out_b = self.direct([far_a, far_b])
+                    if out_a and out_b and all((of_a.startswith(out_a), both.startswith(out_a), of_b.endswith(out_b), both.endswith(out_b), len(both) >= len(out_a) + len(out_b))):
+                        return len(of_a), both, len(of_b)
+            if len(a) == len(left) and len(b) == len(right):
+                return None
+            words *= 2
+
+    def joined(self, text: bytes, chunks: list[bytes]) -> bytes:
+        """The ids of a text from those of its chunks."""
+        parts, drop = [], 0
+        for left, right in zip(chunks, chunks[1:]):
+            cut, between, skip = self.repair(left, right) or (-1, b"", 0)
+            mine = self.chunks[left]
+            if cut < 0 or drop + cut > len(mine):
+                return self.direct([text])[0]
+            parts += mine[drop : len(mine) - cut], between
+            drop = skip
+        return b"".join([*parts, self.chunks[chunks[-1]][drop:]])
+
+    def encode(self, texts: list[bytes], cuts: list[list[int]]) -> list[bytes]:
+        """The ids (int32) of each text; ``cuts``: where its chunks begin."""
+        if self.held > self.room:
+            self.chunks, self.joins, self.held = {}, {}, 0
+        split = [[text[i:j] for i, j in zip(cut, [*cut[1:], len(text)])] for text, cut in zip(texts, cuts)]
+        fresh = list({c for mine in split for c in mine if c not in self.chunks})
+        for chunk, ids in zip(fresh, self.direct(fresh)):
+            self.chunks[chunk] = ids
+            self.held += len(chunk) + len(ids) + 200
+        self.learn({self.ends(a, b, 2) for mine in split for a, b in zip(mine, mine[1:])})
+        return [self.joined(text, mine) for text, mine in zip(texts, split)]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """The decoded form of each text's ids."""
@@ -114,94 +155,6 @@ class ChunkCoder:
             return [" ".join(map(self.names.__getitem__, x)) for x in lists]
         return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
 
-    def check(self, trios: set[tuple[bytes, bytes, bytes]]) -> None:
-        """Encode each join's edge together with its neighbours; those that give what each gives alone are exact."""
-        new = [x for x in trios if x not in self.exact]
-        self.learn({w for x in new for w in x})
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            for trio, ids in zip(part, self.direct([b" ".join(x) for x in part])):
-                self.exact[trio] = array("i", ids).tobytes() == b"".join([self.pieces[w] for w in trio])
-        self.held += sum(len(w) + 80 for x in new for w in x)
-
-    def encode(self, texts: list[bytes], cuts: list[list[int]]) -> list[bytes]:
-        """The ids (int32) of each text; ``cuts``: where its chunks begin."""
-        if self.held > self.room:
-            self.pieces, self.chunks, self.exact, self.held = {}, {}, {}, 0
-        split, fresh, words = [], {}, {b""}
-        for text, cut in zip(texts, cuts):
-            mine = [text[i:j] for i, j in zip(cut, [*cut[1:], len(text)])]
-            split.append(mine)
-            for chunk in mine:
-                if chunk not in self.chunks and chunk not in fresh:
-                    fresh[chunk] = part = self.parts(chunk)
-                    if part:
-                        words.update(_split(part[1]))
-        edges = []
-        for mine in split:
-            edge, own = [], []
-            for chunk in mine:
-                part = fresh[chunk] if chunk in fresh else self.chunks[chunk]
-                if part is None:
-                    edge.append(chunk)
-                else:
-                    own.append(b"".join([*edge, part[0]]))
-                    edge = [part[-1]]
-            own.append(b"".join(edge))
-            edges.append(own)
-            words.update(own)
-        self.learn(words)
-        for chunk, part in fresh.items():
-            self.chunks[chunk] = part and (part[0], self.ids_of(part[1]), part[2])
-            self.held += 3 * len(chunk) + 300
-        joins = [self.joins(text, mine) for text, mine in zip(texts, split)]
-        self.check({trio for trios in joins for trio in trios})
-        return [self.joined(*x) for x in zip(texts, split, edges, joins)]
-
-    def joined(self, text: bytes, mine: list[bytes], edges: list[bytes], joins: list[tuple[bytes, bytes, bytes]]) -> bytes:
-        at, reach = 0, 192
-        for chunk, trio in zip(mine, joins):
-            at += len(chunk)
-            while not self.exact[trio]:
-                if reach >= max(at, len(text) - at):
-                    return array("i", self.direct([text])[0]).tobytes()
-                reach *= 2
-                trio = self.trio(text, at, reach)
-                self.check({trio})
-        inner = [self.chunks[c][1] for c in mine if self.chunks[c] is not None]
-        return b"".join([x for pair in zip(map(self.pieces.__getitem__, edges), [*inner, b""]) for x in pair])
-
-    def joins(self, text: bytes, mine: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
-        out, at = [], 0
-        for chunk in mine[:-1]:
-            at += len(chunk)
-            out.append(self.trio(text, at, 96))
-        return out
-
-    @staticmethod
-    def trio(text: bytes, at: int, reach: int) -> tuple[bytes, bytes, bytes]:
-        """The edge across a join with what stands before and after it; a wider reach gives longer neighbours."""
-        while True:
-            left, right = max(0, at - reach), min(len(text), at + reach)
-            around, after = _split(text[left:at]), _split(text[at:right])
-            edge = (around.pop() if around and text[at - 1] not in SPACE else b"") + (after.pop(0) if after and text[at] not in SPACE else b"")
-            # Pieces cut off by the stretch's own ends don't count as neighbours.
-            around = around[1:] if left else around
-            after = after[:-1] if right < len(text) else after
-            if (around or not left) and (after or right == len(text)):
-                n = max(1, reach // 96)
-                return b" ".join(around[-n:]), edge, b" ".join(after[:n])
-            reach *= 2
-
-
-def _split(text: bytes) -> list[bytes]:
-    """Pieces between white space of SPACE only."""
-    if b"\x0b" in text or b"\x0c" in text:
-        for s in (b"\t", b"\n", b"\r"):
-            text = text.replace(s, b" ")
-        return [w for w in text.split(b" ") if w]
-    return text.split()
-
 
 def _coded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +167,6 @@ def _coded(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         coder = ChunkCoder(tokenizer)
-        gc.disable()  # millions of remembered pieces hold no cycles, but each collection would visit them
         for batch in batches:
             at, data = flat(batch.column(1))
             for i, j in slices(at):
@@ -224,14 +176,15 @@ def _coded(path: str):
                 raw = part.tobytes()
                 bounds = np.searchsorted(cuts, own)
                 texts = [raw[a:b] for a, b in zip(own, own[1:])]
-                begins = [(cuts[a:b] - o).tolist() for a, b, o in zip(bounds, bounds[1:], own)]
+                # Empty texts begin where the next one does.
+                begins = [(cuts[a:b] - o).tolist() or [0] for a, b, o in zip(bounds, bounds[1:], own)]
                 got = coder.encode(texts, begins)
                 ids = pa.array(np.frombuffer(b"".join(got), np.int32))
                 ends = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(coder.decode(got), pa.string())], ["doc_id", "token_ids", "decoded"])
 
-    return run
+    return tidy(run)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -31,7 +31,54 @@ def test_letters_that_normalize_to_marks():
     texts = [f"so {w}{m} and {w} {w}{m} end" for w in words for m in ".,"]
     coder = tokens.ChunkCoder(Tokenizer.from_file(tokenizer_path()))
     got = coder.encode([t.encode() for t in texts], [[0]] * len(texts))
-    assert [np.frombuffer(g, np.int32).tolist() for g in got] == coder.direct([t.encode() for t in texts])
+    assert got == coder.direct([t.encode() for t in texts])
+
+
+def across_spaces():
+    """A tokenizer that parts nothing: its tokens hold white space, inside chunks and across joins."""
+    from tokenizers import Tokenizer, models
+
+    merges = [("b", " "), ("b ", "a"), ("a", "a"), ("b a", " ")]
+    vocab = {t: i for i, t in enumerate(["a", "b", "c", " ", *("".join(m) for m in merges)])}
+    return Tokenizer(models.BPE(vocab, merges))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", None])
+def test_chunks_join_exactly(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name)) if name else across_spaces()
+    texts = ODD + ["".join(rng.choice("ab c") for _ in range(400)) for _ in range(6)] if name else ["".join(rng.choice("ab c") for _ in range(400)) for _ in range(40)]
+    texts += ["the unbelievable story, isn't it?! 1234 done... " * 8] if name else ["ab " * 90]
+    raw = [t.encode() for t in texts]
+    coder = tokens.ChunkCoder(tokenizer, room=1 << 14)
+    want = coder.direct(raw)
+    for every in (3, 17, 90):
+        begins = []
+        for r in raw:
+            at = sorted(rng.sample(range(len(r) + 1), min(len(r), len(r) // every)))
+            begins.append(sorted({0, *(i for i in at if i < len(r) and r[i] & 0xC0 != 0x80)}))
+        assert coder.encode(raw, begins) == want
+    own = np.cumsum([0, *map(len, raw)])
+    cuts = coder.cuts(np.frombuffer(b"".join(raw), np.uint8), own)
+    assert set(own[:-1]) <= set(cuts.tolist())
+
+
+def test_equal_passages_are_cut_alike_and_encoded_once():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    coder = tokens.ChunkCoder(Tokenizer.from_file(tokenizer_path()))
+    said = lambda n: " ".join(rng.choice(["one", "two", "three", "fifteen"]) for _ in range(n))
+    passage = said(6000)
+    texts = [t.encode() for t in (said(300) + " " + passage, said(700) + " " + passage + " " + said(50))]
+    data, own = np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])])
+    cuts = coder.cuts(data, own)
+    begins = [(cuts[(cuts >= a) & (cuts < b)] - a).tolist() for a, b in zip(own, own[1:])]
+    assert coder.encode(texts, begins) == coder.direct(texts)
+    assert sum(map(len, begins)) - len(coder.chunks) > 0.6 * len(begins[0])
 
 
 def test_disagreeing_joins_are_repaired():
@@ -46,6 +93,9 @@ def test_disagreeing_joins_are_repaired():
         def id_to_token(self, i):
             return "a"
 
+        def get_added_tokens_decoder(self):
+            return {}
+
         def encode_batch_fast(self, texts, add_special_tokens):
             return [type("E", (), {"ids": [len(t.split())] * (len(t.split()) % 3) + [ord(c) for c in t if c != " "]}) for t in texts]
 
