@@ -8,8 +8,8 @@ suffixes are sorted in two stages: suffixes smaller than their successors direct
 Adjacent suffixes with a common prefix of ``WIDTH`` bytes are equal strings, and the least document of such a run
 decides for all of it.
 
-Documents are packed into chunks of a few MB.  Everything is combined inside a chunk before it travels (each distinct
-segment once, with the least document that has it), so a passage of a third of all documents makes one entry a chunk.
+Documents are packed into chunks of a few MB.  Each distinct segment of a chunk travels once, with all its places
+there, so a passage of a third of all documents makes one entry a chunk.
 Segments of minimizers in very many documents are dealt string by string instead.
 
 Defined results: a null text is an empty text; a document without id neither loses nor claims bytes; rows that repeat
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, flat, materialize, mix, slices
+from .common import RollingHash, flat, materialize, mix, slices, tidy, tidy_group, tidy_groups
 
 WIDTH, GRAM = 50, 25
 CHUNK_BYTES = 4 << 20
@@ -159,7 +159,7 @@ def _codes(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _segments_out(bits: int):
-    """A chunk and the codes of its minimizers to the segments to compare, and to the bytes already known to go."""
+    """A chunk and the codes of its minimizers to the segments to compare, each distinct one once with all its spots."""
 
     def run(chunks: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         if not len(chunks):
@@ -178,33 +178,23 @@ def _segments_out(bits: int):
         own = tool.hash.ranges(tool.hash.sums(data), each, each + WIDTH) if len(each) else np.zeros(0, np.uint64)
         keys, start, end = np.concatenate([keys[one], mix(own)]), np.concatenate([start[one], each]), np.concatenate([end[one], each + WIDTH])
         docs = ids[np.searchsorted(at, start, "right") - 1]
-        entries: dict[bytes, list] = {}
-        gone: list[tuple[int, int]] = []
-        for k, s, e, d in zip(keys.tolist(), start.tolist(), end.tolist(), docs.tolist()):
-            text = raw[s:e]
-            entry = entries.get(text)
-            if entry is None:
-                entries[text] = [k, d, [s]]
-            elif d == entry[1]:
-                entry[2].append(s)
-            elif d > entry[1]:
-                gone.append((s, e))
-            else:
-                gone += [(x, x + len(text)) for x in entry[2]]
-                entry[1], entry[2] = d, [s]
+        entries: dict[bytes, int] = {}
+        which = np.array([entries.setdefault(raw[s:e], len(entries)) for s, e in zip(start.tolist(), end.tolist())], np.int64)
         texts = list(entries)
-        found = list(entries.values())
-        key = np.array([f[0] for f in found], np.uint64)
-        order = np.argsort(key, kind="stable")
+        key = np.empty(len(texts), np.uint64)
+        key[which] = keys
+        # Spots by bucket, then by entry: each bucket's part is one stretch.
+        rank = np.argsort(key, kind="stable")
+        place = np.empty(len(texts), np.int64)
+        place[rank] = np.arange(len(texts))
+        order = np.argsort(place[which], kind="stable")
+        start, docs, spots = start[order], docs[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(texts))[rank])])
         squeeze, out = zstandard.ZstdCompressor(3), []
-        for b, i, j in _by_bucket(key[order], bits):
-            mine = order[i:j].tolist()
-            spots = [found[m][2] for m in mine]
-            packed = (key[order[i:j]], np.array([found[m][1] for m in mine], np.int64), np.array([len(texts[m]) for m in mine], np.int32), b"".join([texts[m] for m in mine]),
-                      np.array([len(s) for s in spots], np.int32), np.array([x for s in spots for x in s], np.int64))
+        for b, i, j in _by_bucket(key[rank], bits):
+            mine, here = rank[i:j].tolist(), slice(spots[i], spots[j])
+            names, owner = np.unique(docs[here], return_inverse=True)
+            packed = (key[rank[i:j]], np.array([len(texts[m]) for m in mine], np.int32), b"".join([texts[m] for m in mine]), np.diff(spots[i : j + 1]).astype(np.int32), start[here].astype(np.int32), names, owner.astype(np.int32))
             out.append((b, chunk, squeeze.compress(pickle.dumps(packed, 5))))
-        if gone:
-            out.append((-1 - int(chunk) % (1 << bits), chunk, squeeze.compress(_merged(np.array(gone, np.int64)).tobytes())))
         return pd.DataFrame(out, columns=["bucket", "chunk", "payload"])
 
     return run
@@ -288,6 +278,20 @@ def suffix_array(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefixes(packed: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """How many symbols each suffix of ``ranked`` shares with the one before it, counted up to 56; ``packed`` holds at
+    each place the next seven symbols, nine bits each."""
+    shared = np.full(max(0, len(ranked) - 1), 56, np.int64)
+    live = np.arange(len(shared))
+    for at in range(0, 56, 7):
+        apart = packed[ranked[live] + at] ^ packed[ranked[live + 1] + at]
+        ended = apart != 0
+        apart = apart[ended]
+        shared[live[ended]] = at + sum((apart >> np.uint64(9 * k) == 0).astype(np.int64) for k in range(1, 7))
+        live = live[~ended]
+    return shared
+
+
 def least_documents(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each WIDTH-byte string of the texts, the least document that has it; and where each text's strings begin."""
     sizes = np.array([len(t) for t in texts])
@@ -301,10 +305,7 @@ def least_documents(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, n
     packed = np.zeros(len(words) - 7, np.uint64)
     for j in range(7):
         packed = (packed << np.uint64(9)) | words[j : j + len(packed)]
-    equal = np.ones(max(0, len(ranked) - 1), bool)
-    for at in (*range(0, WIDTH - 7, 7), WIDTH - 7):
-        value = packed[ranked + at]
-        equal &= value[1:] == value[:-1]
+    equal = common_prefixes(packed, ranked) >= WIDTH
     run = np.concatenate([[0], np.cumsum(~equal)])
     least = np.minimum.reduceat(docs[owner[ranked]], np.flatnonzero(np.concatenate([[True], ~equal])))[run]
     windows = np.concatenate([[0], np.cumsum(sizes - WIDTH + 1)])
@@ -316,36 +317,28 @@ def least_documents(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, n
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's segments to the bytes that go, by chunk."""
     loose = zstandard.ZstdDecompressor()
-    if rows["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"chunk": rows["chunk"], "spans": [loose.decompress(p) for p in rows["payload"]]})
-    index: dict[bytes, int] = {}
-    keys, least, entries = [], [], []
+    keys, sizes, texts, least, entries, first = [], [], [], [], [], 0
     for chunk, payload in zip(rows["chunk"], rows["payload"]):
-        key, docs, sizes, text, n_spots, spots = pickle.loads(loose.decompress(payload))
-        ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        mine = np.empty(len(key), np.int64)
-        for i, (k, d) in enumerate(zip(key.tolist(), docs.tolist())):
-            t = text[ends[i] : ends[i + 1]]
-            at = index.setdefault(t, len(keys))
-            if at == len(keys):
-                keys.append(k), least.append(d)
-            elif d < least[at]:
-                least[at] = d
-            mine[i] = at
-        entries.append((chunk, np.repeat(mine, n_spots), np.repeat(docs, n_spots), spots))
-    texts, least = list(index), np.array(least, np.int64)
-    order = np.argsort(np.array(keys, np.uint64), kind="stable")
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ranked = np.array(keys, np.uint64)[order]
-    group_start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    group_bytes = np.add.reduceat(sizes[order] + 1, group_start)
+        key, size, text, n_spots, spots, names, owner = pickle.loads(loose.decompress(payload))
+        docs = names[owner]
+        ends = np.cumsum(size).tolist()
+        texts += [text[i:j] for i, j in zip([0, *ends], ends)]
+        keys.append(key), sizes.append(size)
+        least.append(np.minimum.reduceat(docs, np.cumsum(n_spots) - n_spots))
+        entries.append((chunk, first + np.repeat(np.arange(len(key)), n_spots), docs, spots))
+        first += len(key)
+    keys, sizes, least = np.concatenate(keys), np.concatenate(sizes).astype(np.int64), np.concatenate(least)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    group_start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
+    reach = np.concatenate([[0], np.cumsum(sizes[order] + 1)])[group_start]
     width = sizes - WIDTH + 1
     base = np.cumsum(width) - width
     best = np.empty(width.sum(), np.int64)
     i = 0
-    while i < len(group_start):
-        j = max(i + 1, int(np.searchsorted(np.cumsum(group_bytes[i:]), SORT_BATCH, "right")) + i)
-        batch = order[group_start[i] : group_start[j] if j < len(group_start) else len(order)]
+    while i < len(group_start) - 1:
+        j = min(len(reach) - 1, max(i + 1, int(np.searchsorted(reach, reach[i] + SORT_BATCH, "right")) - 1))
+        batch = order[group_start[i] : group_start[j]]
         found, begin = least_documents([texts[b] for b in batch], least[batch])
         best[np.repeat(base[batch] - begin[:-1], width[batch]) + np.arange(len(found))] = found
         i = j
@@ -355,13 +348,13 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         ends = np.cumsum(count)
         inner = np.arange(ends[-1]) - np.repeat(ends - count, count)
         gone = best[np.repeat(base[which], count) + inner] < np.repeat(docs, count)
-        start = (np.repeat(spots, count) + inner)[gone]
+        start = (np.repeat(spots.astype(np.int64), count) + inner)[gone]
         if len(start):
             out.append((chunk, _merged(np.stack([start, start + WIDTH], axis=1)).tobytes()))
     return pd.DataFrame(out, columns=["chunk", "spans"])
 
 
-def _cut(carried: tuple[str, ...]):
+def _cut(carried: tuple[str, ...], as_text: bool):
     def run(chunks: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         """A chunk's documents without the bytes that go."""
         names = [c.split()[0] for c in RESULT.split(", ")]
@@ -378,8 +371,8 @@ def _cut(carried: tuple[str, ...]):
             for s, e in mine.tolist():
                 kept.append(raw[here:s])
                 here = e
-            kept.append(raw[here:b])
-            rows.append((d, b - a, int((mine[:, 1] - mine[:, 0]).sum()), len(mine), b"".join(kept), (mine - a).tobytes()))
+            kept = b"".join([*kept, raw[here:b]])
+            rows.append((d, b - a, int((mine[:, 1] - mine[:, 0]).sum()), len(mine), kept.decode("utf-8", "ignore") if as_text else kept, (mine - a).tobytes()))
         out = pd.DataFrame(rows, columns=names)
         if carried:
             rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(chunks["rest"].iloc[0])).read_all()
@@ -390,38 +383,30 @@ def _cut(carried: tuple[str, ...]):
     return run
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept, spans)`` for each row; ``kept``: the remaining bytes; ``spans``:
-    start and end of each removed run, int64 pairs.  Columns named in ``carry`` come along."""
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept, spans)`` for each row; ``kept``: the remaining bytes, or as a
+    string without the characters that a span cuts in two; ``spans``: start and end of each removed run, int64 pairs.
+    Columns named in ``carry`` come along."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    result = ", ".join([RESULT, *(f"`{c}` {kinds[c]}" for c in carry)])
+    result = ", ".join([RESULT.replace("kept binary", "kept string") if as_text else RESULT, *(f"`{c}` {kinds[c]}" for c in carry)])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    chunks = materialize(docs.where("doc_id is not null").mapInArrow(_packed, CHUNK_SCHEMA), "uncompressed")
+    chunks = materialize(docs.where("doc_id is not null").mapInArrow(tidy(_packed), CHUNK_SCHEMA), "uncompressed")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = lambda share: max(6, (total // share).bit_length())
-    keys = chunks.drop("rest").mapInArrow(_keys_out(bits(KEY_SHARD)), "bucket int, chunk long, keys binary, counts binary")
-    codes = keys.groupBy("bucket").applyInPandas(_codes, "chunk long, bucket int, codes binary")
+    keys = chunks.drop("rest").mapInArrow(tidy(_keys_out(bits(KEY_SHARD))), "bucket int, chunk long, keys binary, counts binary")
+    codes = keys.groupBy("bucket").applyInPandas(tidy_group(_codes), "chunk long, bucket int, codes binary")
     # Both cogroups read the same columns, so that one exchange of the chunks serves them.
-    segments = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(_segments_out(bits(SEGMENT_SHARD)), "bucket long, chunk long, payload binary")
-    gone = segments.groupBy("bucket").applyInPandas(_compared, "chunk long, spans binary")
-    out = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_cut(carry), result)
+    segments = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(tidy_groups(_segments_out(bits(SEGMENT_SHARD))), "bucket long, chunk long, payload binary")
+    gone = segments.groupBy("bucket").applyInPandas(tidy_group(_compared), "chunk long, spans binary")
+    out = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(tidy_groups(_cut(carry, as_text)), result)
     bare = docs.where("doc_id is null").select(
         F.lit(None).cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.col("text").cast("binary").alias("kept"), F.lit(b"").cast("binary").alias("spans"), *carry,
+        F.col("text").cast("string" if as_text else "binary").alias("kept"), F.lit(b"").cast("binary").alias("spans"), *carry,
     )
     return out.unionByName(bare)
 
 
-def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.names.index("kept")
-        text = pa.array([(b or b"").decode("utf-8", "ignore") for b in batch.column(at).to_pylist()], pa.string())
-        yield batch.set_column(at, pa.field("kept", pa.string()), text)
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their remaining text, all columns as they were; characters cut in two by a span go whole."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = remove_repeats(docs, carry).select("doc_id", "kept", *carry)
-    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}" for f in found.schema)
-    return found.mapInArrow(_as_text, kinds).withColumnRenamed("kept", "text").select(*docs.columns)
+    return remove_repeats(docs, carry, True).select("doc_id", F.col("kept").alias("text"), *carry).select(*docs.columns)

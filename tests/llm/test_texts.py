@@ -118,3 +118,17 @@ def test_texts_without_repeats(docs, nothing):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert {r.doc_id: r.text for r in out.collect()}[5] == ""
     assert suffixes.without_repeats(nothing).collect() == []
+
+
+def test_adjacent_common_prefixes():
+    rng = np.random.default_rng(2)
+    text = rng.integers(1, 3, 900).astype(np.uint16)
+    text[400:520] = text[100:220]
+    ranked = suffixes.suffix_array(text)
+    padded = np.concatenate([text.astype(np.uint64), np.zeros(70, np.uint64)])
+    packed = sum(padded[j : j + 963] << np.uint64(9 * (6 - j)) for j in range(7))
+    want = []
+    for a, b in zip(ranked, ranked[1:]):
+        x, y = padded[a : a + 56].tolist(), padded[b : b + 56].tolist()
+        want.append(next((i for i in range(56) if x[i] != y[i]), 56))
+    assert suffixes.common_prefixes(packed, ranked).tolist() == want
