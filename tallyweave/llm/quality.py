@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SEPARATOR, RollingHash, flat, mix, prefix, slices
+from .common import SEPARATOR, RollingHash, flat, mix, prefix, slices, tidy
 
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = (
@@ -149,9 +149,9 @@ def _passing(rules: QualityRules, at_text: int):
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows whose text the rules keep, all columns as they are."""
-    return docs.mapInArrow(_passing(rules, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tidy(_passing(rules, docs.columns.index("text"))), docs.schema)
 
 
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Counts and verdict of each document (``doc_id``, ``text``)."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_measured(rules), SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_measured(rules)), SCHEMA)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, materialize
+from .common import flat, materialize, tidy
 from .graph import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -60,7 +60,7 @@ def _fingerprints(width: int):
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_fingerprints(width)), "doc_id long, fp long")
 
 
 def _variants(prints: DataFrame) -> DataFrame:
