@@ -1,13 +1,15 @@
 """Chat formatting over reply trees.
 
-Messages point to the message they answer.  Self-joins that double their reach enumerate the path from each leaf to
-its root, branches of a conversation are ranked by score, and each chosen path becomes one formatted conversation.
+Messages point to the message they answer.  Self-joins that double their reach sum the scores from each leaf to its
+root; branches of a conversation are ranked by score, and only the chosen paths are enumerated, by the same jumps; each
+becomes one formatted conversation.
 The template marks turns; strings of the template inside a text are escaped with a backslash, so that reading the
 output back gives the texts exactly.
 
 Defined results: null roles and texts are empty; turns tie-break on role and text, null turns first; rows that repeat
 are turns of their own; null conv_id is one conversation; an empty table gives an empty table; other columns are
-ignored.  Messages whose parent is absent are roots; cycles have no root and are left out.
+ignored.  Messages whose parent is absent, or in another conversation, are roots; a null score counts as 0; messages on or below
+a cycle of replies have no root and are left out.  The rounds number the logarithm of the longest conversation.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 ROLE, BODY, END = "### ", ":\n", "\n</turn>\n"
 #: What a text may not hold as it is: the escape itself, and what starts or ends a turn.
@@ -81,30 +83,49 @@ def _ends(text: str, mark: str, at: int) -> int:
     return found
 
 
-def enumerate_paths(messages: DataFrame) -> DataFrame:
-    """``messages(conv, node, parent, score)`` to ``(conv, leaf, node, up)``: all nodes on the way from each leaf up to
-    its root, ``up`` steps above the leaf.  Rounds double the reach, so a long conversation takes few."""
-    nodes = messages.select("node", "parent")
-    leaves = nodes.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    known = nodes.select(F.col("node").alias("parent"))
-    jumps = materialize(nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("above")))
-    paths = materialize(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    reach = 1
-    while not jumps.isEmpty():
-        more = paths.join(jumps, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
-        paths = materialize(paths.union(more))
-        onward = jumps.select(F.col("node").alias("above"), F.col("above").alias("next"))
-        jumps = materialize(jumps.join(onward, "above").select("node", F.col("next").alias("above")))
-        reach *= 2
-    return paths
+def _jumps(messages: DataFrame) -> DataFrame:
+    """``(node, above)`` for each message whose parent is a message of its conversation."""
+    child = messages.select("node", "conv", F.col("parent").alias("above"))
+    parent = messages.select(F.col("node").alias("above"), F.col("conv").alias("home"))
+    return child.join(parent, "above").where(F.col("conv").eqNullSafe(F.col("home"))).select("node", "above")
+
+
+def score_branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``(conv, leaf, score, depth)`` of each branch, and the tables ``(node, above)`` of jumps by 1, 2, 4, ... steps.
+
+    A node carries the sum of scores of the stretch up to where it jumps next; a round doubles the stretch, so no path
+    is spelled out.  A path has no more messages than its conversation: what still jumps then is on or below a cycle."""
+    longest = messages.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    jumps = materialize(_jumps(messages))
+    leaves = messages.join(jumps.select(F.col("above").alias("node")).distinct(), "node", "left_anti").select("node")
+    scores = messages.select("node", "conv", F.coalesce("score", F.lit(0.0)).alias("score"))
+    state = materialize(scores.join(jumps, "node", "left").select("conv", "node", "above", "score", F.lit(1).cast("long").alias("n")))
+    steps = [jumps]
+    while 1 << (len(steps) - 1) < longest and not jumps.isEmpty():
+        onward = state.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("n").alias("m"))
+        far = state.where("above is not null").join(onward, "above").select("conv", "node", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"), (F.col("n") + F.col("m")).alias("n"))
+        state = materialize(state.where("above is null").unionByName(far))
+        jumps = state.where("above is not null").select("node", "above")
+        steps.append(jumps)
+    done = state.where("above is null").join(leaves, "node", "left_semi")
+    return done.select("conv", F.col("node").alias("leaf"), "score", (F.col("n") - 1).alias("depth")), steps
+
+
+def choose_branches(branches: DataFrame, most: int = 1) -> DataFrame:
+    """The best ``most`` leaves of each conversation by the sum of scores on their path; ties to the smaller leaf."""
+    best = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf"))
+    return branches.withColumn("branch", best).where(F.col("branch") <= most)
 
 
-def choose_branches(messages: DataFrame, paths: DataFrame, branches: int = 1) -> DataFrame:
-    """The best ``branches`` leaves of each conversation by the sum of scores on their path; ties to the smaller leaf."""
-    scores = messages.select("node", "conv", "score")
-    total = paths.join(scores, "node").groupBy("conv", "leaf").agg(F.sum("score").alias("score"), F.max("up").alias("depth"))
-    best = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf"))
-    return total.withColumn("branch", best).where(F.col("branch") <= branches)
+def enumerate_paths(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """``leaves(leaf)`` and the tables of jumps to ``(leaf, node, up)``: all nodes on the way from each leaf up to its
+    root, ``up`` steps above the leaf.  Rounds double the reach, so a long conversation takes few."""
+    paths = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jumps in enumerate(steps):
+        # A jump of 2**k steps from one of the first 2**k nodes leads to one of the next.
+        more = paths.join(jumps, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        paths = materialize(paths.union(more))
+    return paths
 
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +143,13 @@ def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     ``node`` is unique over the table; ``loss_spans`` lists start and end of each assistant text in code points."""
     messages = materialize(messages)
-    paths = enumerate_paths(messages)
-    chosen = choose_branches(messages, paths, branches)
+    found, steps = score_branches(messages)
+    chosen = materialize(choose_branches(found, branches))
+    paths = enumerate_paths(chosen, steps)
     turns = paths.join(chosen.select("leaf", "conv", "branch", "depth"), "leaf").join(messages.select("node", "role", "text"), "node")
     turn = F.struct((F.col("depth") - F.col("up")).alias("at"), "role", "text")
     whole = turns.groupBy("leaf", "branch", "conv").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv", "branch", "turns")
-    return whole.mapInArrow(_formatted, "conv long, branch int, formatted string, loss_spans array<long>")
+    return whole.mapInArrow(tidy(_formatted), "conv long, branch int, formatted string, loss_spans array<long>")
 
 
 def linear_messages(rows: DataFrame) -> DataFrame:
@@ -157,4 +179,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations say when they are read back."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("conv", "formatted", "loss_spans").mapInArrow(_digests, schema)
+    return formatted.select("conv", "formatted", "loss_spans").mapInArrow(tidy(_digests), schema)

@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def _variants(prints: DataFrame) -> DataFrame:
     """``(fp, key)``: segment and blanked position in the key's upper half, the segment's other bits below."""
-    spread = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
+    # A few small partitions would make all 64 variants of each fingerprint in as few tasks.
+    spread = prints.repartition("fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
     segment = F.when(F.col("w") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     blank = F.expr("~shiftleft(1L, w % 32)")
     return spread.select("fp", F.expr("shiftleft(cast(w as long), 32)").bitwiseOR(segment.bitwiseAND(blank)).alias("key"))

@@ -1,6 +1,7 @@
 """Tokens, toxicity, chat, urls, search."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -179,7 +180,14 @@ def test_conversations(spark):
     import hashlib
 
     loss = "".join(f"t{t}" for t in range(1, 70, 2))
-    assert (got[9].loss_chars, got[9].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (got[9].loss_chars, got[9].loss_sha256) == (len(loss), sha(loss))
+    for k, r in got.items():
+        order = lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
+        turns = [(a or "", b or "") for *_, a, b in sorted((x for x in rows if x[0] == k), key=order)]
+        said = "".join(t for a, t in turns if a == "assistant")
+        whole = chat.render(turns)[0]
+        assert (r.turns_sha256, r.loss_sha256, r.loss_chars, r.formatted_chars) == (sha("".join(f"{a}\n{t}\n" for a, t in turns)), sha(said), len(said), len(whole))
     assert chat.digests(chat.format_conversations(chat.linear_messages(df.limit(0)))).collect() == []
 
 
@@ -190,6 +198,30 @@ def test_reply_trees(spark):
     assert got == [(1, 1, ["q", "good", "more"]), (1, 2, ["q", "good", "tie"]), (2, 1, ["orphan"])]
 
 
+def brute_branches(tree, most):
+    """Leaves whose way up ends, by score, with the texts from root to leaf."""
+    of = {n: (c, p, t, s or 0.0) for c, n, p, _, t, s in tree}
+    above = lambda n: of[n][1] if of[n][1] in of and of[of[n][1]][0] == of[n][0] else None
+    found = {}
+    for n in set(of) - {above(n) for n in of}:
+        way = [n]
+        while above(way[-1]) is not None and len(way) <= len(of):
+            way.append(above(way[-1]))
+        if len(way) <= len(of):
+            found.setdefault(of[n][0], []).append((-sum(of[x][3] for x in way), n, [of[x][2] for x in reversed(way)]))
+    return sorted((c, i, way) for c, x in found.items() for i, (_, _, way) in enumerate(sorted(x)[:most], 1))
+
+
+def test_reply_cycles_are_left_out(spark):
+    rng = random.Random(8)
+    tree = [(1, 1, 2, "u", "a", 1.0), (1, 2, 3, "u", "b", 1.0), (1, 3, 1, "u", "c", 1.0), (1, 4, 2, "u", "below a cycle", 9.0), (1, 5, None, "u", "sound", None), (1, 6, 6, "u", "own parent", 1.0), (2, 7, 5, "u", "elsewhere", 0.5)]
+    tree += [(3, 100 + i, None if i == 0 else 100 + rng.randrange(max(0, i - 4), i), "u", f"t{i}", rng.randint(0, 3) / 2) for i in range(80)]
+    df = spark.createDataFrame(tree, "conv long, node long, parent long, role string, text string, score double")
+    got = [(r.conv, r.branch, [t for _, t in chat.parse(r.formatted)]) for r in chat.format_conversations(df, 3).orderBy("conv", "branch").collect()]
+    assert got == brute_branches(tree, 3) and len(got) == 5
+    assert chat.format_conversations(df.where("conv = 1 and node < 5")).collect() == []
+
+
 URLS = [None, "", "no scheme", "http://A.Example.COM/en/7?x", "https://example.com/en/8#f", "http://com/en/", "http://xcom/en/", "ftp://example.net/de/81", "http://example.net/de/7", "http://b.org", "http://a.org/es/x://y", "://example.com/en/7", "http://a.com?/en/"]
 
 
@@ -203,12 +235,26 @@ def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
     for bound in (urls.MAX_RULE_BYTES, 0):
         assert [tuple(r) for r in urls.filter_urls(pages, max_rule_bytes=bound).orderBy("page_id").collect()] == want
+    frame = spark.createDataFrame([*urls.PAGE_RULES, (None, "/en/", "block"), ("org", "/es/", "allow")], "host string, path string, action string")
+    assert [tuple(r) for r in urls.filter_urls(pages, frame).orderBy("page_id").collect()] == want
     assert urls.filter_urls(pages, rules=()).where("verdict <> 'allow'").count() == 0
     assert urls.filter_urls(pages.limit(0)).collect() == []
 
 
+def test_very_long_urls(spark):
+    """Neither dots nor slashes make the work grow faster than the url."""
+    long = [("a." * 150_000 + "com", "/en/"), ("com", "/en/" + "x/" * 150_000), ("a." * 150_000, "/" * 150_000)]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(long)], "page_id long, url string")
+    began = time.time()
+    for bound in (urls.MAX_RULE_BYTES, 0):
+        got = [(r.host, r.path, r.rule) for r in urls.filter_urls(pages, max_rule_bytes=bound).orderBy("page_id").collect()]
+        assert got == [(*long[0], "com/en/"), (*long[1], "com/en/"), (*long[2], None)]
+    assert time.time() - began < 60
+    assert len(urls.Shapes([(3, 4), (11, 5)]).strings(*long[0])) == 1
+
+
 def test_digest_collisions_are_confirmed():
-    index = urls.DigestArray.build(urls.PAGE_RULES)
+    index = urls.DigestArray.build([(urls.named(h, p), a == "block") for h, p, a in urls.PAGE_RULES])
     index.keys = np.zeros(len(index.keys), np.uint64)
     names = [b"com\0/en/", b"org\0/es/"]
     index.find(names)
