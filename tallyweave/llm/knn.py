@@ -1,13 +1,18 @@
 """Exact top-k search by inner product with one KD-tree per shard.
 
-Rows are dealt to shards by hash.  A shard's tree splits at medians of the widest dimension and keeps tight bounding
-boxes; equal vectors are one point with its smallest ids.  A query walks a tree best-first by the largest inner
-product its box allows, and stops where no box can reach the kth score known so far.  That score is propagated: each
-block of queries first searches one shard, and the score it reaches bounds its search of every other shard.
-
-Defined results: vectors null, empty, or with null or non-finite components take no part, as query or candidate; nor
-do those with a component of 2**31 or more after scaling (8,388,608 before it at scale 256); null ids neither; only vectors of equal length meet; rows that repeat an id and vector count once; other columns are
-ignored; an empty table gives an empty table.
+A tree over a bounded sample of rows splits space at medians of the widest dimension; every row goes to the region it
+lies in, and regions of many rows are dealt to several shards by hash.  A shard's own tree splits further and keeps
+tight bounding boxes; equal vectors are one point with its smallest ids.  A query walks a tree best-first by the largest
+inner product its box allows, and stops where no box can reach the kth score known so far.  That score is propagated:
+each query first searches the shard it lies in, and then only the regions whose box can reach the score found there.
+
+Products are exact: in floating point where every sum stays below 2**53, in 64-bit integers below 2**63, and in unbounded
+integers beyond; bounds of boxes are rounded outwards.
+
+Defined results: vectors null, empty, or with null or non-finite components take no part, as query or candidate; null
+ids neither; only vectors of equal length meet; every row stands for itself, so rows that repeat an id or a vector are
+candidates for each other, and each query row has its ranks; a score outside 64 bits counts as the nearest 64-bit
+number; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,48 +27,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy, tidy_group, tidy_groups
 
-RESULT = "query_id long, vec_id long, score long"
+FOUND = "query_row long, query_id long, vec_id long, score long"
+LEAST, MOST = -(2**63), 2**63 - 1
+#: Bytes of a component that 64 bits do not hold.
+WIDE = 136
 
 
 @dataclass(frozen=True)
 class SearchOptions:
+    """``sample_rows`` bounds the rows that place the regions, ``regions`` their number; every row is indexed."""
+
     k: int = 5
     scale: int = 256
     shard_rows: int = 8192
     block_queries: int = 512
+    blocks_together: int = 32
     leaf: int = 64
+    sample_rows: int = 16_384
+    regions: int = 1024
+
+
+def quantized(x: float, scale: int) -> int:
+    """floor(scale * x): beyond 2**52 a double is whole, and the product may leave its range."""
+    return int(x) * scale if abs(x) >= 2**52 else int(np.floor(x * scale))
+
+
+def packed(v: list[int]) -> bytes:
+    if max(v) <= MOST and min(v) >= LEAST:
+        return np.array(v, np.int64).tobytes()
+    return b"".join(c.to_bytes(WIDE, "little", signed=True) for c in v)
+
+
+def matrix(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Rows of integers: int64, or Python's own where one needs more bits."""
+    if all(len(v) == 8 * dim for v in vectors):
+        return np.frombuffer(b"".join(vectors), np.int64).reshape(len(vectors), dim)
+    out = np.empty((len(vectors), dim), object)
+    for i, v in enumerate(vectors):
+        out[i] = np.frombuffer(v, np.int64).tolist() if len(v) == 8 * dim else [int.from_bytes(v[j : j + WIDE], "little", signed=True) for j in range(0, len(v), WIDE)]
+    return out
+
+
+def floats(x: np.ndarray) -> np.ndarray:
+    if x.dtype != object:
+        return x.astype(np.float64)
+    limit = 2**1023
+    return np.array([float(c) if -limit < c < limit else np.inf if c > 0 else -np.inf for c in x.ravel()], np.float64).reshape(x.shape)
+
+
+def upper_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each query and box no less than the largest inner product; all are floats."""
+    with np.errstate(all="ignore"):
+        reach = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+        slack = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T * ((queries.shape[1] + 8) * 2.0**-52)
+        return np.nan_to_num(reach + slack, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def largest(x: np.ndarray) -> int:
+    return max(abs(int(x.min())), abs(int(x.max())))
+
+
+def products(points: np.ndarray, q: np.ndarray, top: int) -> list[int]:
+    """Inner products in 64 bits; ``top`` bounds their absolute sums."""
+    if top < 2**53:
+        return (points.astype(np.float64) @ q.astype(np.float64)).astype(np.int64).tolist()
+    if top < 2**63:
+        return (points.astype(np.int64) @ q.astype(np.int64)).tolist()
+    return [min(max(sum(map(int.__mul__, map(int, p), map(int, q))), LEAST), MOST) for p in points]
 
 
 class Tree:
-    """Median splits with tight boxes over distinct vectors; ``ids`` lists of each point's smallest ids, ascending."""
+    """Median splits with tight boxes over distinct vectors; ``ids`` lists of each point's smallest (id, row), ascending."""
 
-    def __init__(self, points: np.ndarray, ids: list[np.ndarray], leaf: int):
+    def __init__(self, points: np.ndarray, ids: list[list[tuple[int, int]]], leaf: int):
         self.points, self.ids = points, ids
         self.low, self.high, self.kids, self.rows = [], [], [], []
         self._grow(np.arange(len(points)), leaf)
-        self.low, self.high = np.array(self.low, float), np.array(self.high, float)
+        self.low, self.high = np.stack(self.low), np.stack(self.high)
+        self.top = [r if r is None else largest(points[r]) for r in self.rows]
 
     def _grow(self, rows: np.ndarray, leaf: int) -> int:
         here, mine = len(self.rows), self.points[rows]
-        low, high = mine.min(0), mine.max(0)
+        low, high = floats(mine.min(0)), floats(mine.max(0))
         self.low.append(low), self.high.append(high), self.kids.append(None), self.rows.append(None)
         if len(rows) <= leaf:
             self.rows[here] = rows
             return here
-        order = np.argsort(mine[:, np.argmax(high - low)], kind="stable")
+        with np.errstate(all="ignore"):
+            order = np.argsort(mine[:, np.argmax(np.nan_to_num(high - low, nan=np.inf))], kind="stable")
         half = len(rows) // 2
         self.kids[here] = (self._grow(rows[order[:half]], leaf), self._grow(rows[order[half:]], leaf))
         return here
 
-    def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    def search(self, queries: np.ndarray, own: list[int], floor: list[int], k: int) -> list[list[tuple[int, int]]]:
         """For each query the (-score, id) of its best, sorted; scores under its ``floor`` may be missing."""
-        reach = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        reach = upper_bounds(floats(queries), self.low, self.high)
         out = []
-        for q, me, least, bound in zip(queries, own, floor, reach):
+        for q, me, least, bound in zip(queries, own, floor, reach.tolist()):
             best: list[tuple[int, int]] = []
-            heap = [(-bound[0], 0)]
+            heap, size = [(-bound[0], 0)], largest(q) * len(q)
             while heap and -heap[0][0] >= least:
                 node = heapq.heappop(heap)[1]
                 if self.kids[node] is not None:
@@ -72,9 +136,9 @@ class Tree:
                             heapq.heappush(heap, (-bound[child], child))
                     continue
                 rows = self.rows[node]
-                scores = self.points[rows] @ q
-                for i in np.flatnonzero(scores >= least):
-                    best += [(-int(scores[i]), int(x)) for x in self.ids[rows[i]] if x != me][:k]
+                for i, score in zip(rows.tolist(), products(self.points[rows], q, size * self.top[node])):
+                    if score >= least:
+                        best += [(-score, x) for x, row in self.ids[i] if row != me][:k]
                 if len(best) >= k:
                     best = sorted(best)[:k]
                     least = max(least, -best[-1][0])
@@ -82,78 +146,190 @@ class Tree:
         return out
 
 
-def _quantized(options: SearchOptions):
+def tree_of(rows: pd.DataFrame, options: SearchOptions) -> Tree:
+    points: dict[bytes, list[tuple[int, int]]] = {}
+    for x in zip(map(bytes, rows["v"]), zip(rows["vec_id"].tolist(), rows["row"].tolist())):
+        points.setdefault(x[0], []).append(x[1])
+    return Tree(matrix(list(points), int(rows["dim"].iloc[0])), [sorted(x)[: options.k + 1] for x in points.values()], options.leaf)
+
+
+def _quantized(scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keep = [], []
+            out = []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if i is None or not v or any(x is None for x in v):
-                    continue
-                x = np.floor(np.array(v, np.float64) * options.scale)
-                if np.isfinite(x).all() and np.abs(x).max() < 2**31:
-                    ids.append(i), keep.append(x.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keep, pa.binary())], ["vec_id", "v"])
+                if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+                    out.append((i, len(v), packed([quantized(float(x), scale) for x in v])))
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["vec_id", "dim", "v"])
+
+    return tidy(run)
+
+
+class Regions:
+    """Median splits of space, placed on a sample; for each dimension of vectors a list of nodes (axis, cut, left, right),
+    where an axis under 0 marks region -1 - axis."""
+
+    def __init__(self, sample: list[tuple[int, bytes]], rows: int, options: SearchOptions):
+        self.nodes: dict[int, list[tuple]] = {}
+        self.count = 0
+        wanted = min(options.regions, -(-rows // options.shard_rows))
+        for dim in sorted({d for d, _ in sample}):
+            points = floats(matrix([v for d, v in sample if d == dim], dim))
+            self.nodes[dim] = nodes = []
+            self._grow(points, max(16, -(-len(sample) // max(1, wanted))), nodes)
+
+    def _grow(self, points: np.ndarray, most: int, nodes: list) -> int:
+        here = len(nodes)
+        nodes.append(None)
+        with np.errstate(all="ignore"):
+            axis = int(np.argmax(np.nan_to_num(points.max(0) - points.min(0), nan=0)))
+        cut = float(np.partition(points[:, axis], (len(points) - 1) // 2)[(len(points) - 1) // 2])
+        left = points[:, axis] <= cut
+        if len(points) <= most or left.all():
+            nodes[here] = (-1 - self.count, 0.0, 0, 0)
+            self.count += 1
+        else:
+            nodes[here] = (axis, cut, self._grow(points[left], most, nodes), self._grow(points[~left], most, nodes))
+        return here
+
+    def place(self, points: np.ndarray, dim: int) -> np.ndarray:
+        """The region of each row; lengths that the sample lacks share a last one each."""
+        nodes, out = self.nodes.get(dim), np.full(len(points), self.count, np.int64)
+        todo = [(0, np.arange(len(points)))] if nodes else []
+        while todo:
+            at, rows = todo.pop()
+            axis, cut, left, right = nodes[at]
+            if axis < 0:
+                out[rows] = -1 - axis
+            else:
+                low = points[rows, axis] <= cut
+                todo += [(left, rows[low]), (right, rows[~low])]
+        return out
+
+
+def _placed(regions):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, vectors = batch.column("dim").to_numpy(), batch.column("v").to_pylist()
+            region = np.zeros(len(dims), np.int64)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                region[rows] = regions.value.place(floats(matrix([vectors[i] for i in rows], dim)), dim)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "dim", "v")), pa.array(region)], ["row", "vec_id", "dim", "v", "region"])
+
+    return tidy(run)
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The box of each region in a task."""
+    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        of: dict[tuple[int, int], list[bytes]] = {}
+        for d, r, v in zip(*(batch.column(c).to_pylist() for c in ("dim", "region", "v"))):
+            of.setdefault((d, r), []).append(v)
+        for key, vectors in of.items():
+            x = floats(matrix(vectors, key[0]))
+            low, high = held.get(key, (x[0], x[0]))
+            held[key] = np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+    rows = [(d, r, low.tobytes(), high.tobytes()) for (d, r), (low, high) in held.items()]
+    columns = zip(*rows) if rows else ((), (), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["dim", "region", "low", "high"])
+
+
+def _united(rows: pd.DataFrame) -> pd.DataFrame:
+    both = [np.stack([np.frombuffer(b, np.float64) for b in rows[c]]) for c in ("low", "high")]
+    return pd.DataFrame({"dim": rows["dim"].iloc[:1], "region": rows["region"].iloc[:1], "low": [both[0].min(0).tobytes()], "high": [both[1].max(0).tobytes()]})
+
+
+def _at_home(options: SearchOptions):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The best of each query inside its own shard."""
+        asked, found = rows[rows["asked"]], []
+        if len(asked):
+            queries = matrix(list(map(bytes, asked["v"])), int(rows["dim"].iloc[0]))
+            best = tree_of(rows, options).search(queries, asked["row"].tolist(), [LEAST] * len(asked), options.k)
+            found = [(r, q, i, -s) for r, q, b in zip(asked["row"].tolist(), asked["vec_id"].tolist(), best) for s, i in b]
+        return pd.DataFrame(found, columns=["query_row", "query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
 
-def _tree_of(rows: pd.DataFrame, options: SearchOptions) -> Tree:
-    points: dict[bytes, list[int]] = {}
-    for i, v in zip(rows["vec_id"], rows["v"]):
-        points.setdefault(v, []).append(i)
-    flat = np.frombuffer(b"".join(points), np.int64).reshape(len(points), -1).astype(float)
-    return Tree(flat, [np.sort(np.array(x))[: options.k + 1] for x in points.values()], options.leaf)
+def _reaching(boxes, options: SearchOptions):
+    """Queries to blocks of those that a region's box can serve, for each of the region's shards but the query's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            dims = np.array(column["dim"])
+            for dim in np.unique(dims).tolist():
+                if dim not in boxes.value:
+                    continue
+                regions, parts, low, high = boxes.value[dim]
+                mine = np.flatnonzero(dims == dim)
+                for i in range(0, len(mine), options.block_queries):
+                    rows = mine[i : i + options.block_queries]
+                    bound = upper_bounds(floats(matrix([column["v"][r] for r in rows], dim)), low, high)
+                    floor = [column["floor"][r] for r in rows]
+                    out = []
+                    for region, part, reach in zip(regions, parts, bound.T.tolist()):
+                        serves = [r for r, b, f in zip(rows.tolist(), reach, floor) if f is None or b >= f]
+                        for p in range(part):
+                            go = [r for r in serves if (column["region"][r], column["part"][r]) != (region, p)]
+                            if go:
+                                pick = lambda c: np.array([LEAST if column[c][r] is None else column[c][r] for r in go], np.int64).tobytes()  # noqa: E731, B023
+                                out.append((dim, region, p, pick("row"), pick("vec_id"), pick("floor"), [column["v"][r] for r in go]))
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+                    columns = zip(*out) if out else ((),) * len(kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["dim", "region", "part", "rows", "ids", "floors", "vectors"])
+
+    return tidy(run)
 
 
 def _searched(options: SearchOptions):
     def run(shard: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(shard) and len(blocks):
-            tree = _tree_of(shard, options)
-            for ids, vectors, floor in zip(blocks["ids"], blocks["vectors"], blocks["floor"]):
-                own = np.frombuffer(ids, np.int64)
-                queries = np.frombuffer(vectors, np.int64).reshape(len(own), -1).astype(float)
-                for q, best in zip(own, tree.search(queries, own, np.frombuffer(floor, np.float64), options.k)):
-                    found += [(q, i, -s) for s, i in best]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            tree = tree_of(shard, options)
+            for rows, ids, floors, vectors in zip(*(blocks[c] for c in ("rows", "ids", "floors", "vectors"))):
+                rows, ids, floors = (np.frombuffer(x, np.int64).tolist() for x in (rows, ids, floors))
+                best = tree.search(matrix(list(map(bytes, vectors)), int(shard["dim"].iloc[0])), rows, floors, options.k)
+                found += [(r, q, i, -s) for r, q, b in zip(rows, ids, best) for s, i in b]
+        return pd.DataFrame(found, columns=["query_row", "query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id")
-    floor = rows["floor"].fillna(-np.inf).to_numpy(np.float64)
-    packed = [[rows["vec_id"].to_numpy(np.int64).tobytes(), b"".join(rows["v"]), floor.tobytes()]]
-    return pd.DataFrame(packed, columns=["ids", "vectors", "floor"]).assign(dim=rows["dim"].iloc[0], block=rows["block"].iloc[0])
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def top_k(vectors: DataFrame, queries: str = "vec_id % 50 = 0", options: SearchOptions = SearchOptions()) -> DataFrame:
     """``vectors(vec_id, embedding)`` to ``(query_id, rank, vec_id, score)``; ``queries`` is a predicate on vec_id."""
-    valid = vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(_quantized(options), "vec_id long, v binary")
-    valid = materialize(valid.distinct().withColumn("dim", F.length("v")).withColumn("mark", F.xxhash64("vec_id", "v")))
-    shards = max(1, -(-valid.count() // options.shard_rows))
-    valid = valid.withColumn("shard", F.expr(f"pmod(mark, {shards}L)"))
-    asked = valid.where(queries)
-    blocks = max(1, -(-asked.count() // options.block_queries))
-    asked = asked.withColumn("block", F.expr(f"pmod(shiftrightunsigned(mark, 20), {blocks}L)"))
-
-    def packed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("dim", "block").applyInPandas(_block, "ids binary, vectors binary, floor binary, dim int, block long")
-
-    def search(where: DataFrame) -> DataFrame:
-        left, right = valid.groupBy("dim", "shard"), where.groupBy("dim", "shard")
-        return left.cogroup(right).applyInPandas(_searched(options), RESULT)
-
-    first = packed(asked.withColumn("floor", F.lit(None).cast("double")))
-    home = F.expr(f"pmod(block, {shards}L)").alias("shard")
-    begun = materialize(search(first.select("ids", "vectors", "floor", "dim", home)))
-    known = _best(begun, options.k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == options.k)
-    bounded = asked.join(known.selectExpr("query_id vec_id", "cast(floor as double) floor"), "vec_id", "left")
-    others = F.expr(f"filter(sequence(0L, {shards - 1}L), s -> s <> pmod(block, {shards}L))")
-    rest = search(packed(bounded).select("ids", "vectors", "floor", "dim", F.explode(others).alias("shard")))
-    return _best(begun.union(rest), options.k).select("query_id", "rank", "vec_id", "score")
+    context = vectors.sparkSession.sparkContext
+    valid = vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(_quantized(options.scale), "vec_id long, dim int, v binary")
+    valid = materialize(valid.withColumn("row", F.monotonically_increasing_id()))
+    count = valid.count()
+    sample = valid.select("dim", "v", F.xxhash64("v", "row").alias("h")).orderBy("h").limit(options.sample_rows).select("dim", "v")
+    regions = context.broadcast(Regions([(r["dim"], bytes(r["v"])) for r in sample.collect()], count, options))
+    valid = materialize(valid.mapInArrow(_placed(regions), "row long, vec_id long, dim int, v binary, region long"))
+    boxes = valid.mapInArrow(tidy(_boxes), "dim int, region long, low binary, high binary").groupBy("dim", "region").applyInPandas(_united, "dim int, region long, low binary, high binary")
+    sizes = valid.groupBy("dim", "region").agg(F.ceil(F.count("*") / F.lit(options.shard_rows)).cast("long").alias("parts"))
+    # As many rows as there are regions, plus the lengths of vectors that the sample lacks.
+    table = materialize(boxes.join(sizes, ["dim", "region"]))
+    valid = valid.join(table.select("dim", "region", "parts"), ["dim", "region"]).withColumn("part", F.expr("pmod(xxhash64(row, 5), parts)")).withColumn("asked", F.expr(queries))
+    begun = materialize(valid.groupBy("dim", "region", "part").applyInPandas(tidy_group(_at_home(options)), FOUND))
+    known = begun.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == options.k)
+    bounded = valid.where("asked").join(known.select(F.col("query_row").alias("row"), "floor"), "row", "left")
+    of: dict[int, tuple] = {}
+    for r in table.orderBy("dim", "region").collect():
+        names, parts, low, high = of.setdefault(r["dim"], ([], [], [], []))
+        names.append(r["region"]), parts.append(r["parts"]), low.append(np.frombuffer(r["low"])), high.append(np.frombuffer(r["high"]))
+    of = {d: (n, p, np.stack(low), np.stack(high)) for d, (n, p, low, high) in of.items()}
+    blocks = bounded.select("row", "vec_id", "dim", "v", "region", "part", "floor").mapInArrow(_reaching(context.broadcast(of), options), "dim int, region long, part long, rows binary, ids binary, floors binary, vectors array<binary>")
+    blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
+    # A shard that very many blocks ask for is searched in several tasks, each with some of the blocks.
+    key = ["dim", "region", "part"]
+    load = materialize(blocks.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(options.blocks_together)).cast("long").alias("times")))
+    left = valid.select(*key, "row", "vec_id", "v").join(load, key).withColumn("turn", F.explode(F.expr("sequence(0L, times - 1)"))).drop("times")
+    right = blocks.join(load, key).withColumn("turn", F.expr("pmod(xxhash64(block), times)")).drop("times")
+    rest = left.groupBy(*key, "turn").cogroup(right.groupBy(*key, "turn")).applyInPandas(tidy_groups(_searched(options)), FOUND)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    best = begun.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.k)
+    return best.select("query_id", "rank", "vec_id", "score")

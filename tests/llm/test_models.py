@@ -265,17 +265,45 @@ def test_digest_collisions_are_confirmed():
     assert index.text[index.offsets[k[0]] : index.offsets[k[0] + 1]] == names[0] and k[1] == -1
 
 
-def test_top_k(spark):
+def brute_top_k(rows, every, k=5):
+    """Each query row against every other row, in Python's integers."""
+    from fractions import Fraction
+
+    held = [(i, [int(Fraction(x) * 256 // 1) for x in map(float, v)]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a, (i, q) in enumerate(held):
+        if i % every == 0:
+            scores = [(-min(max(sum(x * y for x, y in zip(q, v)), -(2**63)), 2**63 - 1), j) for b, (j, v) in enumerate(held) if b != a and len(v) == len(q)]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_rows", [64, 8192])
+def test_top_k(spark, shard_rows):
     rng = np.random.default_rng(4)
     vectors = rng.normal(0, 0.2, (300, 8)).astype(np.float32)
     vectors[40:140] = vectors[40]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(900, None, 0), (950, [1.0, None], 0), (951, [float("nan")] * 8, 0), (None, [0.1] * 8, 0), (1000, [0.5, 0.5], 0), (3, vectors[3].tolist(), 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = [tuple(r) for r in knn.top_k(df, "vec_id % 10 = 0", knn.SearchOptions(shard_rows=64, block_queries=7, leaf=8)).orderBy("query_id", "rank").collect()]
-    q = np.floor(vectors.astype(np.float64) * 256).astype(np.int64)
-    want = []
-    for i in range(0, 300, 10):
-        best = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5]
-        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    assert got == want
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (950, [1.0, None]), (951, [float("nan")] * 8), (None, [0.1] * 8), (1000, [0.5, 0.5]), (3, vectors[3].tolist()), (10, vectors[11].tolist()), (20, vectors[20].tolist()), (2000, [])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, score int")
+    options = knn.SearchOptions(shard_rows=shard_rows, block_queries=7, blocks_together=2, leaf=8)
+    got = sorted(tuple(r) for r in knn.top_k(df, "vec_id % 10 = 0", options).collect())
+    assert got == brute_top_k(rows, 10) and len(got) == 32 * 5
     assert knn.top_k(df.limit(0)).collect() == []
+
+
+def test_top_k_is_exact_for_large_components(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.integers(-9, 9, 4) * 10.0 ** rng.integers(0, [3, 8, 12, 300][i % 4])).tolist()) for i in range(60)]
+    rows += [(60, [9e6, 1.0, 0.0, 1.0]), (61, [9e6, 1.0, 0.0, 1.00390625]), (62, [1.7e308, 0.0, 0.0, 0.0]), (63, [-1.7e308, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in knn.top_k(df, "vec_id % 3 = 0", knn.SearchOptions(shard_rows=16, leaf=4)).collect())
+    assert got == brute_top_k(rows, 3)
+
+
+def test_bounds_are_no_less_than_products():
+    rng = np.random.default_rng(10)
+    for top in (2**20, 2**40, 2**62):
+        points, queries = rng.integers(-top, top, (200, 16)), rng.integers(-top, top, (50, 16))
+        bound = knn.upper_bounds(knn.floats(queries), knn.floats(points.min(0))[None], knn.floats(points.max(0))[None])[:, 0]
+        for q, b in zip(queries.tolist(), bound.tolist()):
+            assert b >= max(sum(x * y for x, y in zip(p, q)) for p in points.tolist())
