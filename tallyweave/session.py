@@ -14,6 +14,7 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.bindAddress": "127.0.0.1",
+        "spark.driver.host": "127.0.0.1",
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("tallyweave")
     for key, value in settings.items():
