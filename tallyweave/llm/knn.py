@@ -49,9 +49,15 @@ class SearchOptions:
     regions: int = 1024
 
 
-def quantized(x: float, scale: int) -> int:
-    """floor(scale * x): beyond 2**52 a double is whole, and the product may leave its range."""
-    return int(x) * scale if abs(x) >= 2**52 else int(np.floor(x * scale))
+def quantized(v: list, scale: int) -> bytes | None:
+    """floor(scale * x) for each component, packed; None if a component is null or not finite."""
+    x = np.array(v, np.float64)
+    if not np.isfinite(x).all():
+        return None
+    if np.abs(x).max() < 2**52 / scale:
+        return np.floor(x * scale).astype(np.int64).tobytes()
+    # Beyond 2**52 a double is whole, and the product may leave its range.
+    return packed([int(c) * scale if abs(c) >= 2**52 else int(np.floor(c * scale)) for c in x.tolist()])
 
 
 def packed(v: list[int]) -> bytes:
@@ -89,10 +95,10 @@ def largest(x: np.ndarray) -> int:
     return max(abs(int(x.min())), abs(int(x.max())))
 
 
-def products(points: np.ndarray, q: np.ndarray, top: int) -> list[int]:
-    """Inner products in 64 bits; ``top`` bounds their absolute sums."""
+def products(points: np.ndarray, near: np.ndarray, q: np.ndarray, near_q: np.ndarray, top: int) -> list[int]:
+    """Inner products in 64 bits; ``near`` are the points as floats, ``top`` bounds the products' absolute sums."""
     if top < 2**53:
-        return (points.astype(np.float64) @ q.astype(np.float64)).astype(np.int64).tolist()
+        return (near @ near_q).astype(np.int64).tolist()
     if top < 2**63:
         return (points.astype(np.int64) @ q.astype(np.int64)).tolist()
     return [min(max(sum(map(int.__mul__, map(int, p), map(int, q))), LEAST), MOST) for p in points]
@@ -106,7 +112,7 @@ class Tree:
         self.low, self.high, self.kids, self.rows = [], [], [], []
         self._grow(np.arange(len(points)), leaf)
         self.low, self.high = np.stack(self.low), np.stack(self.high)
-        self.top = [r if r is None else largest(points[r]) for r in self.rows]
+        self.leaves = [None if r is None else (points[r], floats(points[r]), largest(points[r])) for r in self.rows]
 
     def _grow(self, rows: np.ndarray, leaf: int) -> int:
         here, mine = len(self.rows), self.points[rows]
@@ -123,9 +129,9 @@ class Tree:
 
     def search(self, queries: np.ndarray, own: list[int], floor: list[int], k: int) -> list[list[tuple[int, int]]]:
         """For each query the (-score, id) of its best, sorted; scores under its ``floor`` may be missing."""
-        reach = upper_bounds(floats(queries), self.low, self.high)
-        out = []
-        for q, me, least, bound in zip(queries, own, floor, reach.tolist()):
+        near = floats(queries)
+        reach, out = upper_bounds(near, self.low, self.high), []
+        for q, near_q, me, least, bound in zip(queries, near, own, floor, reach.tolist()):
             best: list[tuple[int, int]] = []
             heap, size = [(-bound[0], 0)], largest(q) * len(q)
             while heap and -heap[0][0] >= least:
@@ -136,7 +142,8 @@ class Tree:
                             heapq.heappush(heap, (-bound[child], child))
                     continue
                 rows = self.rows[node]
-                for i, score in zip(rows.tolist(), products(self.points[rows], q, size * self.top[node])):
+                exact, rounded, top = self.leaves[node]
+                for i, score in zip(rows.tolist(), products(exact, rounded, q, near_q, size * top)):
                     if score >= least:
                         best += [(-score, x) for x, row in self.ids[i] if row != me][:k]
                 if len(best) >= k:
@@ -158,8 +165,8 @@ def _quantized(scale: int):
         for batch in batches:
             out = []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-                    out.append((i, len(v), packed([quantized(float(x), scale) for x in v])))
+                if i is not None and v and (held := quantized(v, scale)) is not None:
+                    out.append((i, len(v), held))
             columns = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["vec_id", "dim", "v"])
 
