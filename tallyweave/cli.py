@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from .functions.money import format_cents
 from .plans import service
+from .plans.reconcile import Report, confirm_by_user
 from .schemas import MatcherOptions
 from .session import local_session
 from .sources import synthetic
@@ -30,6 +32,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     match.add_argument("--fee-tolerance-percentage", type=float)
     match.add_argument("--yes", action="store_true")
     match.add_argument("--force", action="store_true")
+    match.add_argument("--non-interactive", action="store_true")
     match.add_argument("-o", "--output")
     for p in (parse, match):
         p.add_argument("-f", "--format")
@@ -55,6 +58,26 @@ def _statement(spark, path: str, args: argparse.Namespace):
     return service.parse_text(spark, content, ParseOptions(args.format, service.parse_mapping(args.map), args.currency))
 
 
+def review(report: Report, ask=input, say=print) -> Report:
+    """Ask for each match under review, in order, whether to accept it (y), it and the rest (a), or to stop (q)."""
+    waiting = report.matches.where("status = 'REVIEW_NEEDED'").orderBy("match_no")
+    shown = waiting.select(F.col("transaction.id").alias("tx_id"), "transaction.booking_date", format_cents(F.col("transaction.amount_cents"), F.col("transaction.currency")).alias("paid"), "transaction.reference", "invoice.invoice_number", "invoice.customer_name", F.array_join("discrepancies", "; ").alias("why"), "confidence")
+    accepted, every = [], False
+    for r in shown.toLocalIterator():
+        if not every:
+            say(f"{r.paid} on {r.booking_date}: {r.reference or ''}\n  {r.invoice_number} for {r.customer_name}\n  {r.why} ({r.confidence:.0%})")
+            answer = ask("Accept this match? [y/N/a(all)/q(quit)]: ").strip().lower()
+            if answer in ("q", "quit"):
+                break
+            every = answer in ("a", "all")
+            if not every and answer not in ("y", "yes"):
+                continue
+        accepted.append((r.tx_id,))
+    if not accepted:
+        return report
+    return replace(report, matches=confirm_by_user(report.matches, report.matches.sparkSession.createDataFrame(accepted, "tx_id string")))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _arguments(argv)
     spark = local_session()
@@ -79,7 +102,10 @@ def main(argv: list[str] | None = None) -> int:
     # Zero days fall back to the default, as an unset value does.
     options = MatcherOptions(args.date_tolerance or 2, args.fee_tolerance, args.fee_tolerance_percentage)
     report = service.match_statement(found, load_invoices(spark, args.invoices), options)
-    report = report.confirmed(args.force) if args.yes else report
+    if args.yes:
+        report = report.confirmed(args.force)
+    elif not (args.json or args.non_interactive) and sys.stdin.isatty():
+        report = review(report)
     if args.json or args.output:
         text = service.dumps(service.full_report(report, Path(args.statement).name), args.pretty)
         Path(args.output).write_text(text) if args.output else print(text)

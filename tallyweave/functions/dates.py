@@ -50,3 +50,15 @@ def day_difference(a: Column, b: Column) -> Column:
 def nearest_days(booking: Column, issue: Column, due: Column) -> Column:
     """Days between a booking and the nearer of an invoice's dates."""
     return F.least(day_difference(booking, issue), day_difference(booking, due))
+
+
+def window_bucket(day: Column, reach: int) -> Column:
+    """A stretch of days as long as the window on both sides of a date."""
+    return F.floor(F.unix_date(day) / F.lit(2 * reach + 1))
+
+
+def window_buckets(reach: int, *days: Column) -> Column:
+    """The stretches that hold a date within ``reach`` of one of ``days``, each once."""
+    width = F.lit(2 * reach + 1)
+    spans = [F.sequence(F.floor((F.unix_date(d) - reach) / width), F.floor((F.unix_date(d) + reach) / width)) for d in days]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*spans))))

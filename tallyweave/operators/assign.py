@@ -16,13 +16,14 @@ def first_come(edges: DataFrame) -> DataFrame:
     then drops all edges that touch an accepted one; the first remaining transaction is always served, so it ends."""
     left = materialize(edges)
     taken: list[DataFrame] = []
+    of_tx, of_invoice = Window.partitionBy("tx_ord"), Window.partitionBy("invoice_id")
     while not left.isEmpty():
-        own = F.min("key_ord").over(Window.partitionBy("tx_ord"))
-        claim = F.min("tx_ord").over(Window.partitionBy("invoice_id"))
-        accepted = materialize(left.withColumn("_own", own).withColumn("_claim", claim).where("key_ord = _own and tx_ord = _claim").drop("_own", "_claim"))
-        taken.append(accepted)
-        left = left.join(accepted.select("tx_ord"), "tx_ord", "left_anti").join(accepted.select("invoice_id"), "invoice_id", "left_anti")
-        left = materialize(left.select(*edges.columns))
+        first = left.withColumn("_own", F.min("key_ord").over(of_tx)).withColumn("_claim", F.min("tx_ord").over(of_invoice))
+        first = first.withColumn("_ok", F.expr("key_ord = _own and tx_ord = _claim"))
+        touched = first.withColumn("_gone", F.max("_ok").over(of_invoice)).withColumn("_gone", F.expr("_gone or max(_ok) over (partition by tx_ord)"))
+        settled = materialize(touched.drop("_own", "_claim"))
+        taken.append(settled.where("_ok").select(*edges.columns))
+        left = settled.where("not _gone").select(*edges.columns)
     if not taken:
         return left
     out = taken[0]
@@ -39,11 +40,11 @@ def bipartite_components(edges: DataFrame) -> DataFrame:
     pairs = materialize(edges.select("tx_ord", "invoice_id").distinct())
     labels = pairs.select("tx_ord").distinct().withColumn("component", F.col("tx_ord"))
     while True:
-        labels = materialize(labels)
         by_invoice = pairs.join(labels, "tx_ord").groupBy("invoice_id").agg(F.min("component").alias("component"))
         spread = pairs.join(by_invoice, "invoice_id").groupBy("tx_ord").agg(F.min("component").alias("component"))
         jump = labels.select(F.col("tx_ord").alias("component"), F.col("component").alias("further"))
-        after = materialize(spread.join(jump, "component", "left").select("tx_ord", F.least("component", F.coalesce("further", "component")).alias("component")))
-        if after.join(labels.withColumnRenamed("component", "old"), "tx_ord").where("component <> old").isEmpty():
-            return edges.join(after, "tx_ord")
-        labels = after
+        after = spread.join(jump, "component", "left").select("tx_ord", F.least("component", F.coalesce("further", "component")).alias("component"))
+        after = materialize(after.join(labels.select("tx_ord", F.col("component").alias("old")), "tx_ord"))
+        labels = after.select("tx_ord", "component")
+        if after.where("component <> old").isEmpty():
+            return edges.join(labels, "tx_ord")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
-from ..functions.dates import nearest_days
+from ..functions.dates import nearest_days, window_bucket, window_buckets
 from ..functions.money import format_cents
 from ..schemas import MatcherOptions
 
@@ -103,10 +103,18 @@ def _edge(df: DataFrame, score: Column, level: str, status: Column, notes: Colum
     )
 
 
+def _dated(txs: DataFrame, invoices: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a stretch of days to join on: a pair whose dates are within ``reach`` meets in exactly one.  An
+    amount that very many share is then no product of all its payments and invoices."""
+    spans = F.explode(window_buckets(reach, F.col("issue_date"), F.col("due_date")))
+    return txs.withColumn("tx_span", window_bucket(F.col("booking_date"), reach)), invoices.withColumn("inv_span", spans)
+
+
 def bucket_edges(txs: DataFrame, invoices: DataFrame, options: MatcherOptions) -> DataFrame:
     """Pairs of equal currency and amount: exact reference, then equal IBAN or name, then similar text."""
-    same = (txs["tx_currency"] == invoices["invoice_currency"]) & (txs["tx_amount"] == invoices["invoice_amount"])
-    pairs = txs.join(invoices, same).withColumn("days", nearest_days(F.col("booking_date"), F.col("issue_date"), F.col("due_date")))
+    txs, invoices = _dated(txs, invoices, options.days + 3)
+    same = (txs["tx_currency"] == invoices["invoice_currency"]) & (txs["tx_amount"] == invoices["invoice_amount"]) & (txs["tx_span"] == invoices["inv_span"])
+    pairs = txs.join(invoices, same).drop("tx_span", "inv_span").withColumn("days", nearest_days(F.col("booking_date"), F.col("issue_date"), F.col("due_date")))
     pairs = _with_checks(pairs.where(F.col("days") <= options.days + 3))
     near = F.col("days") <= options.days
     named, metric = near & F.col("named"), near & ~F.col("named") & (F.col("same_iban") | F.col("same_name"))
@@ -138,7 +146,7 @@ def direct_fee_edges(pairs: DataFrame, options: MatcherOptions) -> DataFrame:
 
 
 def amount_range_pairs(txs: DataFrame, invoices: DataFrame, options: MatcherOptions) -> DataFrame:
-    """Pairs whose invoice exceeds the payment by no more than the tolerance, in one currency.
+    """Pairs whose invoice exceeds the payment by no more than the tolerance, in one currency and within the window.
 
     Amounts fall into bins as wide as the tolerance at their size: steps of the cents tolerance below the point where
     the percentage takes over, and a geometric scale above.  A payment looks into the few bins its range spans, so the
@@ -159,11 +167,13 @@ def amount_range_pairs(txs: DataFrame, invoices: DataFrame, options: MatcherOpti
     top = amount + F.greatest(F.lit(options.fee_cents), by_percent)
     # One bin more on either side makes up for rounding of logarithms.
     reach = F.sequence(bin_of(amount) - 1, bin_of(top) + 1)
+    txs, invoices = _dated(txs, invoices, options.days + 2)
     spread = txs.withColumn("top", top).withColumn("bin", F.explode(reach))
     placed = invoices.withColumn("bin", bin_of(F.col("invoice_amount")))
-    pairs = spread.join(placed, (spread["tx_currency"] == placed["invoice_currency"]) & (spread["bin"] == placed["bin"]))
-    pairs = pairs.where("invoice_amount > tx_amount and invoice_amount <= top").drop("bin", "top")
-    return pairs.withColumn("days", nearest_days(F.col("booking_date"), F.col("issue_date"), F.col("due_date")))
+    pairs = spread.join(placed, (spread["tx_currency"] == placed["invoice_currency"]) & (spread["bin"] == placed["bin"]) & (spread["tx_span"] == placed["inv_span"]))
+    pairs = pairs.where("invoice_amount > tx_amount and invoice_amount <= top").drop("bin", "top", "tx_span", "inv_span")
+    pairs = pairs.withColumn("days", nearest_days(F.col("booking_date"), F.col("issue_date"), F.col("due_date")))
+    return pairs.where(F.col("days") <= options.days + 2)
 
 
 def range_fee_edges(txs: DataFrame, invoices: DataFrame, options: MatcherOptions) -> DataFrame:

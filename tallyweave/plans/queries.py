@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,14 @@ from ..operators import ledger
 from ..operators import matching as m
 from ..operators.assign import first_come
 from ..schemas import MatcherOptions
-from ..sources import synthetic
+from ..sources import invoices as invoice_lists
+from ..sources import statements, synthetic
 from . import views
 from .reconcile import Report, annotated, reconcile
 
 OPTIONS = MatcherOptions()
+#: No tolerance for fees: what matches then, SQL can say.
+STRICT = MatcherOptions(fee_tolerance_cents=0, fee_tolerance_percentage=0.0)
 _reports: dict[tuple[str, str], Report] = {}
 
 
@@ -96,9 +100,8 @@ def amount_bucket_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal amount, currency and customer name within the window, without a named reference."""
-    txs, invoices = m.with_tokens(*_sides(spark, sf_dir))
-    found = m.bucket_edges(txs.where("reference = 'monthly transfer'"), invoices, OPTIONS)
+    """Equal amount, currency and customer name within the window, where the payment does not name the invoice."""
+    found = m.bucket_edges(*m.with_tokens(*_sides(spark, sf_dir)), OPTIONS)
     return found.where("level = 'EXACT_METRICS'").select("tx_id", "invoice_id", "confidence")
 
 
@@ -111,7 +114,7 @@ def fee_range_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def levenshtein_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     other = c.select((F.col("c_custkey") + 7).alias("c_custkey"), F.col("c_name").alias("other"))
-    return c.join(other, "c_custkey").select("c_custkey", (1 - F.levenshtein("c_name", "other") / F.greatest(F.length("c_name"), F.length("other"))).alias("similarity"))
+    return c.join(other, "c_custkey").select("c_custkey", fuzzy.levenshtein_similarity_udf("c_name", "other").alias("similarity"))
 
 
 def company_name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,13 +189,135 @@ def suspense_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.suspense_postings(_exact_report(spark, sf_dir)).select("event_id", F.col("posted_at").cast("string").alias("posted_at"), "line_no", "account_id", "direction", "amount_cents", "currency")
 
 
-def postings_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unbalanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose debits and credits differ: none, of either kind of posting."""
+    found = _keyed_report(spark, sf_dir)
+    one, two = ledger.match_postings(found), ledger.suspense_postings(found)
+    return ledger.imbalance(one, "tx_id").withColumnRenamed("tx_id", "event_id").unionByName(ledger.imbalance(two, "event_id"))
+
+
+def suspense_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each account holds after all events; partial payments leave a rest in suspense."""
     signed = F.when(F.col("direction") == "DEBIT", F.col("amount_cents")).otherwise(-F.col("amount_cents"))
-    return ledger.suspense_postings(_exact_report(spark, sf_dir)).groupBy("currency").agg(F.sum(signed).alias("off_cents"))
+    return ledger.suspense_postings(_keyed_report(spark, sf_dir)).groupBy("account_id", "currency").agg(F.sum(signed).alias("held_cents"))
+
+
+def _keyed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full and partial payments by reference, in the shape that postings take."""
+    tx, inv = views.transactions(spark, sf_dir), views.invoices(spark, sf_dir)
+    full, part = exact_reference_matches(spark, sf_dir).select("tx_id", "invoice_id", F.lit("MATCHED").alias("status")), partial_payments(spark, sf_dir).select("tx_id", "invoice_id", F.lit("PARTIAL_MATCH").alias("status"))
+    tx_rows = m.incoming(tx).select(F.col("id").alias("tx_id"), F.struct(*tx.columns).alias("transaction"))
+    inv_rows = inv.select(F.col("id").alias("invoice_id"), F.struct(*inv.columns).alias("invoice"))
+    # Exact payments match first and take their invoice.
+    found = full.union(part.join(full.select("invoice_id"), "invoice_id", "left_anti").select("tx_id", "invoice_id", "status"))
+    return found.join(tx_rows, "tx_id").join(inv_rows, "invoice_id").select(F.col("transaction.tx_ord").alias("match_no"), "status", F.lit(None).cast("bigint").alias("fee_cents"), "transaction", "invoice")
+
+
+def _strict(spark: SparkSession, sf_dir: str) -> Report:
+    return reconcile(views.transactions(spark, sf_dir), views.invoices(spark, sf_dir), STRICT)
+
+
+def strict_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _strict(spark, sf_dir).matches.where("invoice is not null")
+    return found.select(F.col("transaction.id").alias("tx_id"), F.col("invoice.id").alias("invoice_id"), "status", "level", "confidence", "matched_cents", "remaining_cents")
+
+
+def strict_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments and invoices without a match."""
+    r = _strict(spark, sf_dir)
+    lost = r.matches.where("status = 'UNMATCHED'").select(F.col("transaction.id").alias("id"), F.col("transaction.direction").alias("what"))
+    return lost.union(r.unmatched_invoices.select("id", F.coalesce("reason", F.lit("OPEN"))))
+
+
+def strict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strict(spark, sf_dir).totals_by_currency()
+
+
+def strict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strict(spark, sf_dir).summary()
+
+
+#: Orders of one statement file.
+FILE_ROWS = 500
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = views.transactions(spark, sf_dir)
+    return tx.select(F.col("tx_ord").alias("i"), F.col("counterparty_name").alias("company"), F.lit("DE89370400440532013000").alias("iban"), "reference", F.lit("EUR").alias("currency"), "direction", "amount_cents", "booking_date")
+
+
+def _files(lines: DataFrame, head: str, tail: str) -> DataFrame:
+    """``(i, value)`` as files of a bounded number of rows."""
+    body = lines.groupBy(F.floor(F.col("i") / FILE_ROWS).cast("string").alias("file")).agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("rows"))
+    return body.select("file", F.concat(F.lit(head), F.array_join("rows.value", "\n"), F.lit(tail)).alias("content"))
+
+
+def _statement_files(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
+    rows = _lines(spark, sf_dir)
+    if format == "stripe":
+        plain = F.concat(F.floor(F.col("amount_cents") / 100).cast("string"), F.lit("."), F.lpad((F.col("amount_cents") % 100).cast("string"), 2, "0"))
+        signed = F.concat(F.when(F.col("direction") == "OUTGOING", "-").otherwise(""), plain)
+        line = F.concat_ws(",", F.concat(F.lit("txn_"), F.col("i").cast("string")), signed, F.lit("0.30"), signed, F.lit("eur"), F.concat(F.col("booking_date").cast("string"), F.lit(" 08:30")), F.concat(F.lit('"'), "reference", F.lit('"')), "company")
+        return _files(rows.select("i", line.alias("value")), "id,Gross,Fee,Net,Currency,Created (UTC),Description,Customer Name\n", "\n")
+    return _files(synthetic.render(rows, format), *synthetic.frame(format))
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    found = statements.parse_statements(files).transactions
+    return found.select("id", F.col("booking_date").cast("string").alias("booking_date"), "amount_cents", "currency", "direction", "counterparty_name", "reference", "source_format")
+
+
+def parsed_mt940(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(_statement_files(spark, sf_dir, "mt940"))
+
+
+def parsed_camt053(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(_statement_files(spark, sf_dir, "camt053"))
+
+
+def parsed_revolut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(_statement_files(spark, sf_dir, "revolut"))
+
+
+def parsed_stripe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(_statement_files(spark, sf_dir, "stripe"))
+
+
+def parsed_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(_statement_files(spark, sf_dir, "generic"))
+
+
+FORMS = ("mt940", "camt053", "revolut", "stripe", "generic")
+
+
+def detected_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file in one of the five formats, by its number."""
+    of = lambda k, f: _statement_files(spark, sf_dir, f).where(F.col("file").cast("bigint") % len(FORMS) == k)
+    every = reduce(DataFrame.unionByName, [of(k, f) for k, f in enumerate(FORMS)])
+    return every.select("file", statements.detect_format(F.col("content")).alias("format"))
+
+
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generic rows with a date, an amount or a currency that cannot be read."""
+    rows = _lines(spark, sf_dir)
+    k = F.col("i") % 10
+    day, money = F.when(k == 5, "soon").otherwise(F.col("booking_date").cast("string")), F.when(k == 3, "free").otherwise(F.concat(F.col("amount_cents").cast("string"), F.lit(",00")))
+    line = F.concat_ws(";", day, "company", "reference", money, F.when(k == 7, "EURO").otherwise("EUR"))
+    files = _files(rows.select("i", line.alias("value")), "Date;Counterparty;Reference;Amount;Currency\n", "")
+    bad = statements.parse_statements(files).rejected
+    return bad.select("file", "index", F.substring_index("error", ":", 1).alias("field"))
+
+
+def invoice_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices of a CSV list of the first file's worth of orders, which one driver-side text holds."""
+    inv = views.invoices(spark, sf_dir).where(F.col("inv_ord") < FILE_ROWS)
+    line = F.concat_ws(",", "invoice_number", F.concat(F.floor(F.col("amount_cents") / 100).cast("string"), F.lit("."), F.lpad((F.col("amount_cents") % 100).cast("string"), 2, "0")), "currency", F.col("issue_date").cast("string"), F.lower("status"), "customer_name")
+    text_ = _files(inv.select(F.col("inv_ord").alias("i"), line.alias("value")), "Invoice Number,Amount,Currency,Issue Date,Status,Customer Name\n", "").first()["content"]
+    return invoice_lists.parse_invoices(spark, text_).select("invoice_number", "amount_cents", "currency", F.col("issue_date").cast("string").alias("issue_date"), "status", "customer_name")
 
 
 def synthetic_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.generate(spark, 1000, noise=0.0).select("i", "company", "invoice_number", "amount_cents", "direction", "booking_date")
+    return synthetic.generate(spark, 1000, noise=0.0).select("i", "company", "invoice_number", "amount_cents", "direction", F.col("booking_date").cast("string").alias("booking_date"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -200,14 +325,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         normalize_amounts, parse_dates, fingerprint_ids, dedupe_incoming, open_invoices, skipped_invoices, reference_index, exact_reference_matches, partial_payments, amount_bucket_candidates,
         exact_metrics, fee_range_candidates, levenshtein_similarity, company_name_clean, normalized_remittance, invoice_candidates, remittance_scores, jaro_winkler_pairs, reconcile_matches,
-        unmatched_transactions, unmatched_invoices, totals_by_currency, match_summary, confirmed_totals, ledger_postings, suspense_postings, postings_balance, synthetic_transactions,
+        unmatched_transactions, unmatched_invoices, totals_by_currency, match_summary, confirmed_totals, ledger_postings, suspense_postings, unbalanced_postings, suspense_left,
+        strict_matches, strict_unmatched, strict_totals, strict_summary, parsed_mt940, parsed_camt053, parsed_revolut, parsed_stripe, parsed_generic, detected_formats, quarantined_rows, invoice_list, synthetic_transactions,
     )
 }
 
 I, T = views.invoice_sql(), views.transaction_sql()
 VIEWS = f"WITH i AS ({I}), t AS ({T}), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tx_ord) AS rn FROM t WHERE direction = 'INCOMING') WHERE rn = 1), o AS (SELECT * FROM i WHERE status = 'OPEN')"
 DAYS = "least(abs(date_diff('day', d.booking_date, o.issue_date)), abs(date_diff('day', d.booking_date, o.due_date)))"
-EXACT = f"{VIEWS}, x AS (SELECT d.*, o.id AS invoice_id, o.amount_cents AS due_cents FROM d JOIN o ON d.tx_ord = o.inv_ord WHERE d.tx_ord % 10 IN (0, 1, 2))"
+# A payment names an invoice by its number, however it is spaced; the strict report's phases follow from the rules.
+EXACT = f"""{VIEWS}, n AS (SELECT d.*, o.id AS invoice_id, o.amount_cents AS due_cents, {DAYS} AS days FROM d JOIN o ON o.invoice_number = 'INV-2024-' || regexp_extract(d.reference, 'INV[- ]2024[- ]([0-9]{{7}})', 1) AND o.currency = d.currency),
+    x AS (SELECT * FROM n WHERE amount_cents = due_cents AND days <= 2)"""
+PART = "p AS (SELECT * FROM n WHERE amount_cents < due_cents AND days <= 5 AND id NOT IN (SELECT id FROM x) AND invoice_id NOT IN (SELECT invoice_id FROM x){0})"
+NOT_FEE = " AND due_cents - amount_cents > 2500 AND amount_cents < floor(CAST(due_cents AS DOUBLE) * CAST(0.98 AS DOUBLE))"
+BARE = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+NAMED = f"(contains({BARE.format('d.reference')}, {BARE.format('o.invoice_number')}) OR contains(lower(d.reference), o.id))"
+STRICT_SQL = f"""{EXACT}, {PART.format('')},
+    m AS (SELECT d.id, o.id AS invoice_id, d.amount_cents, o.amount_cents AS due_cents, d.currency, {NAMED} AS named, {DAYS} AS days FROM d JOIN o ON d.currency = o.currency AND d.amount_cents = o.amount_cents
+          WHERE {DAYS} <= 2 AND d.id NOT IN (SELECT id FROM x UNION ALL SELECT id FROM p) AND o.id NOT IN (SELECT invoice_id FROM x UNION ALL SELECT invoice_id FROM p) AND ({NAMED} OR d.counterparty_name = o.customer_name)),
+    f AS (SELECT id AS tx_id, invoice_id, 'MATCHED' AS status, 'EXACT_REFERENCE' AS level, CAST(1 AS DOUBLE) AS confidence, amount_cents AS matched_cents, CAST(0 AS BIGINT) AS remaining_cents, due_cents, currency FROM x
+          UNION ALL SELECT id, invoice_id, 'PARTIAL_MATCH', 'PARTIAL_MATCH', CAST(0.95 AS DOUBLE), amount_cents, due_cents - amount_cents, due_cents, currency FROM p
+          UNION ALL SELECT id, invoice_id, 'MATCHED', CASE WHEN named THEN 'EXACT_REFERENCE' ELSE 'EXACT_METRICS' END, CASE WHEN named THEN CAST(1 AS DOUBLE) ELSE CAST(0.98 AS DOUBLE) END, amount_cents, 0, due_cents, currency FROM m),
+    u AS (SELECT id, direction, amount_cents, currency FROM d WHERE id NOT IN (SELECT tx_id FROM f) UNION ALL SELECT id, direction, amount_cents, currency FROM t WHERE direction = 'OUTGOING')"""
+FILED = "row_number() OVER (PARTITION BY tx_ord // 500 ORDER BY tx_ord)"
+
+
+def _rows_sql(id_: str, party: str, reference: str, format: str) -> str:
+    """The rows that files of one format must give."""
+    return f"""{VIEWS} SELECT {id_} AS id, CAST(booking_date AS VARCHAR) AS booking_date, amount_cents, 'EUR' AS currency, direction, {party} AS counterparty_name, {reference} AS reference, '{format}' AS source_format FROM t"""
+
+
 SIGN = "CASE WHEN o_orderkey % 5 IN (2, 3) THEN -1 ELSE 1 END"
 
 ORACLES = {
@@ -221,10 +368,9 @@ ORACLES = {
     "reference_index": f"""{VIEWS}, k AS (SELECT unnest([lower(invoice_number), replace(lower(invoice_number), '-', ''), lpad(CAST(inv_ord AS VARCHAR), 7, '0'), id, replace(id, '_', '')]) AS key, id, inv_ord FROM o)
         SELECT key, count(DISTINCT id) AS n_ids, arg_min(id, inv_ord) AS first_invoice FROM k GROUP BY key""",
     "exact_reference_matches": f"{EXACT} SELECT id AS tx_id, invoice_id, amount_cents AS tx_amount FROM x",
-    "partial_payments": f"""{VIEWS} SELECT d.id AS tx_id, o.id AS invoice_id, o.amount_cents - d.amount_cents AS remaining_cents FROM d JOIN o ON d.tx_ord = o.inv_ord WHERE d.tx_ord % 10 IN (3, 4)
-        AND d.amount_cents < o.amount_cents AND o.amount_cents - d.amount_cents > 2500 AND d.amount_cents < floor(CAST(o.amount_cents AS DOUBLE) * CAST(0.98 AS DOUBLE))""",
+    "partial_payments": f"{EXACT}, {PART.format(NOT_FEE)} SELECT id AS tx_id, invoice_id, due_cents - amount_cents AS remaining_cents FROM p",
     "amount_bucket_candidates": f"{VIEWS} SELECT d.tx_ord, o.id AS invoice_id, {DAYS} AS days FROM d JOIN o ON d.currency = o.currency AND d.amount_cents // 10000 = o.amount_cents // 10000 WHERE {DAYS} <= 5",
-    "exact_metrics": f"{VIEWS} SELECT d.id AS tx_id, o.id AS invoice_id, CAST(0.98 AS DOUBLE) AS confidence FROM d JOIN o ON d.currency = o.currency AND d.amount_cents = o.amount_cents AND d.counterparty_name = o.customer_name WHERE d.reference = 'monthly transfer' AND {DAYS} <= 2",
+    "exact_metrics": f"{VIEWS} SELECT d.id AS tx_id, o.id AS invoice_id, CAST(0.98 AS DOUBLE) AS confidence FROM d JOIN o ON d.currency = o.currency AND d.amount_cents = o.amount_cents AND d.counterparty_name = o.customer_name WHERE NOT {NAMED} AND {DAYS} <= 2",
     "fee_range_candidates": f"""{VIEWS} SELECT d.tx_ord, o.id AS invoice_id, o.amount_cents - d.amount_cents AS fee_cents FROM d JOIN o ON d.currency = o.currency AND o.amount_cents > d.amount_cents
         AND (o.amount_cents - d.amount_cents <= 2500 OR d.amount_cents >= floor(CAST(o.amount_cents AS DOUBLE) * CAST(0.98 AS DOUBLE))) WHERE {DAYS} <= 4""",
     "levenshtein_similarity": "SELECT a.c_custkey, 1 - CAST(levenshtein(a.c_name, b.c_name) AS DOUBLE) / greatest(length(a.c_name), length(b.c_name)) AS similarity FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 7",
@@ -235,5 +381,31 @@ ORACLES = {
     "suspense_postings": f"""{EXACT} SELECT id || CASE WHEN n < 2 THEN '-clearing' ELSE '-settlement' END AS event_id, CAST(booking_date AS VARCHAR) AS posted_at, CAST(n % 2 AS INTEGER) AS line_no,
         CASE n WHEN 0 THEN 'assets:bank' WHEN 3 THEN 'assets:accounts_receivable' ELSE 'assets:suspense' END AS account_id, CASE WHEN n % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction,
         CASE WHEN n < 2 THEN amount_cents ELSE due_cents END AS amount_cents, currency FROM x, (VALUES (0), (1), (2), (3)) AS l(n)""",
-    "postings_balance": f"{EXACT} SELECT currency, CAST(0 AS BIGINT) AS off_cents FROM x GROUP BY currency",
+    "unbalanced_postings": "SELECT CAST('' AS VARCHAR) AS event_id, CAST('' AS VARCHAR) AS currency, CAST(0 AS BIGINT) AS off_cents WHERE false",
+    "suspense_left": f"""{EXACT}, {PART.format(NOT_FEE)}, b AS (SELECT currency, amount_cents, due_cents FROM x UNION ALL SELECT currency, amount_cents, due_cents FROM p)
+        SELECT a AS account_id, currency, CAST(sum(CASE a WHEN 'assets:bank' THEN amount_cents WHEN 'assets:suspense' THEN due_cents - amount_cents ELSE -due_cents END) AS BIGINT) AS held_cents
+        FROM b, (VALUES ('assets:bank'), ('assets:suspense'), ('assets:accounts_receivable')) AS l(a) GROUP BY ALL""",
+    "strict_matches": f"{STRICT_SQL} SELECT tx_id, invoice_id, status, level, confidence, matched_cents, remaining_cents FROM f",
+    "strict_unmatched": f"{STRICT_SQL} SELECT id, direction AS what FROM u UNION ALL SELECT id, CASE WHEN status = 'OPEN' THEN 'OPEN' ELSE 'INVOICE_NOT_OPEN' END FROM i WHERE id NOT IN (SELECT invoice_id FROM f)",
+    "strict_totals": f"""{STRICT_SQL}, c AS (SELECT currency FROM t UNION SELECT currency FROM i)
+        SELECT currency, CAST(coalesce((SELECT sum(CASE WHEN status = 'MATCHED' THEN due_cents ELSE matched_cents END) FROM f WHERE f.currency = c.currency), 0) AS BIGINT) AS matched_cents,
+               CAST(coalesce((SELECT sum(amount_cents) FROM u WHERE u.currency = c.currency), 0) AS BIGINT) AS unmatched_cents, CAST(0 AS BIGINT) AS fee_cents FROM c""",
+    "strict_summary": f"""{STRICT_SQL} SELECT (SELECT count(*) FROM f) AS matched_count, CAST(0 AS BIGINT) AS review_needed_count, (SELECT count(*) FROM u) AS unmatched_count,
+        (SELECT count(*) FROM d) + (SELECT count(*) FROM t WHERE direction = 'OUTGOING') AS total_transactions, (SELECT count(*) FROM i) AS total_invoices""",
+    "parsed_mt940": _rows_sql("'SYNTH-REF-' || (tx_ord + 1)", "counterparty_name", "reference", "mt940"),
+    "parsed_camt053": _rows_sql("'SYNTH-E2E-' || (tx_ord + 1)", "counterparty_name", "reference", "camt053"),
+    "parsed_revolut": _rows_sql(
+        f"'revolut-' || CAST(booking_date AS VARCHAR) || '-' || amount_cents || '-' || {FILED}", "counterparty_name || ' ' || reference", "CASE direction WHEN 'INCOMING' THEN 'From ' ELSE 'To ' END || counterparty_name || ' ' || reference", "revolut-csv"
+    ),
+    "parsed_stripe": _rows_sql("'txn_' || tx_ord", "counterparty_name", "reference", "stripe-csv"),
+    "parsed_generic": _rows_sql("sha256('|' || CAST(booking_date AS VARCHAR) || '|' || amount_cents || '|EUR|' || reference || '||' || direction)", "counterparty_name", "reference", "generic-csv"),
+    "detected_formats": f"{VIEWS} SELECT CAST(tx_ord // 500 AS VARCHAR) AS file, ['mt940', 'camt053', 'revolut-csv', 'stripe-csv', 'generic-csv'][CAST(tx_ord // 500 % 5 + 1 AS INTEGER)] AS format FROM t GROUP BY ALL",
+    "quarantined_rows": f"""{VIEWS}, r AS (SELECT tx_ord, {FILED} - 1 AS index FROM t) SELECT CAST(tx_ord // 500 AS VARCHAR) AS file, CAST(index AS INTEGER) AS index,
+        CASE tx_ord % 10 WHEN 5 THEN 'booking_date' WHEN 3 THEN 'amount_cents' ELSE 'currency' END AS field FROM r WHERE tx_ord % 10 IN (3, 5, 7)""",
+    "invoice_list": f"{VIEWS} SELECT invoice_number, amount_cents, currency, CAST(issue_date AS VARCHAR) AS issue_date, status, customer_name FROM i WHERE inv_ord < 500",
+    "invoice_candidates": f"""{VIEWS}, r AS (SELECT tx_ord, reference, regexp_extract(reference, 'INV([- ])2024([- ])([0-9]{{7}})', 3) AS number FROM t),
+        c AS (SELECT tx_ord, unnest(CASE WHEN number = '' THEN [] WHEN contains(reference, 'INV 2024') THEN ['2024', 'INV-2024'] ELSE ['2024-' || number, 'INV-2024-' || number, number] END) AS candidate FROM r) SELECT tx_ord, candidate FROM c""",
+    "jaro_winkler_pairs": "SELECT a.c_custkey, jaro_winkler_similarity(a.c_name, b.c_name) AS similarity FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 3",
+    "synthetic_transactions": """WITH g AS (SELECT range AS i FROM range(1000)) SELECT i, ['Acme Corp GmbH', 'Siemens Digital AG', 'Delta Logistics BV', 'Airbus Operations SAS', 'Nexus Dynamics LLC', 'Spotify AB', 'Zalando Payments GmbH', 'BioNTech SE', 'SAP Enterprise SE', 'Datadog Europe SAS'][CAST(i % 10 + 1 AS INTEGER)] AS company,
+        'INV-2024-' || (1000 + i) AS invoice_number, (250 + i * 370 % 8000) * 100 AS amount_cents, CASE WHEN i % 5 = 4 THEN 'OUTGOING' ELSE 'INCOMING' END AS direction, CAST(DATE '2024-09-01' + CAST(i // 2 AS INTEGER) AS VARCHAR) AS booking_date FROM g""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MatcherOptions
-from ..sources.statements import FORMATS, ParseOptions, Statement, detect_format, parse_statements
+from ..sources.statements import FORMAT_NAMES, FORMATS, detect_format, parse_statements, ParseOptions, Statement
 from .reconcile import Report, numbered, reconcile
 
 CAMEL = {"amount_cents": "amountCents", "booking_date": "bookingDate", "value_date": "valueDate", "counterparty_name": "counterpartyName", "counterparty_iban": "counterpartyIban", "counterparty_bic": "counterpartyBic", "bank_transaction_id": "bankTransactionId", "source_format": "sourceFormat", "is_reversal": "isReversal", "invoice_number": "invoiceNumber", "issue_date": "issueDate", "due_date": "dueDate", "customer_name": "customerName", "customer_email": "customerEmail", "customer_iban": "customerIban", "remaining_cents": "remainingCents", "matched_cents": "matchedCents", "requires_force": "requiresForce"}
@@ -49,7 +49,7 @@ def plain(row: object) -> object:
 
 def parsed_report(name: str, statement: Statement, with_rejected: bool) -> dict:
     rows = [plain(r) for r in statement.transactions.orderBy("position").toLocalIterator()]
-    out = {"parserId": name, "count": len(rows), "transactions": rows}
+    out = {"parserId": name, "parserName": FORMAT_NAMES[name], "count": len(rows), "transactions": rows}
     if with_rejected:
         out["rejectedRows"] = [plain(r) for r in statement.rejected.orderBy("file", "index").toLocalIterator()]
     return out

@@ -17,9 +17,12 @@ from ..functions import text
 from ..functions.dates import parse_bank_date
 from ..functions.fingerprint import fingerprint
 from ..functions.money import parse_amount
+from ..storage import materialize
 from .csv import cell, csv_file, first_cell, resolve_header
 
 FORMATS = ("camt053", "mt940", "stripe-csv", "revolut-csv", "generic-csv")
+# What replies call each format.
+FORMAT_NAMES = {"camt053": "CAMT.053 (ISO 20022 XML)", "mt940": "SWIFT MT940", "stripe-csv": "Stripe Export CSV", "revolut-csv": "Revolut Business CSV", "generic-csv": "Generic CSV"}
 # Names by which a generic statement's columns are known.
 GENERIC = {
     "date": ("date", "booking date", "buchungstag", "datum", "transaction date", "tx date", "value date"),
@@ -122,15 +125,20 @@ def revolut(files: DataFrame, options: ParseOptions) -> DataFrame:
     rows, row = _csv(files), F.col("row")
     get = lambda *n: first_cell(row, *n)
     rows = rows.where(~F.upper(F.coalesce(get("State", "Status"), F.lit("COMPLETED"))).isin("REVERTED", "DECLINED", "FAILED"))
-    amount, said = F.coalesce(get("Amount"), F.lit("0")), F.coalesce(text.trim(get("Description")), F.lit(""))
-    incoming = F.coalesce(parse_amount(amount)["direction"], F.lit("INCOMING")) == "INCOMING"
-    after = lambda word: F.when(F.startswith(F.lower(said), F.lit(word)), text.trim(F.substr(said, F.lit(len(word) + 1)))).otherwise(said)
-    party = F.when(incoming, F.coalesce(text.filled(text.trim(get("Payer"))), after("from "))).otherwise(F.coalesce(text.filled(text.trim(get("Beneficiary"))), after("to ")))
+    said = F.coalesce(text.trim(get("Description")), F.lit(""))
     booking = F.coalesce(get("Completed Date", "Date completed", "Started Date", "Date started", "Date"), F.lit(""))
-    date, cents = parse_bank_date(booking)["date"], parse_amount(amount)["amount_cents"]
-    made = F.concat_ws("-", F.lit("revolut"), F.coalesce(date.cast("string"), booking), F.coalesce(cents, F.lit(-1)).cast("string"), (F.col("row_no") + 1).cast("string"))
-    reference = F.coalesce(text.filled(text.trim(get("Reference", "Payment reference"))), text.filled(said))
-    cols = {"booking": booking, "amount": amount, "currency": F.upper(F.coalesce(get("Currency"), F.lit("EUR"))), "party": text.filled(party), "reference": reference, "own_id": F.coalesce(get("Transaction ID", "ID"), made)}
+    # Written out: the optimizer would copy the long expressions to each place of their use, until the code for a row
+    # no longer compiles.
+    rows = materialize(rows.select(
+        "file", "row_no", "row", F.coalesce(get("Amount"), F.lit("0")).alias("amount"), said.alias("said"), booking.alias("booking"), F.upper(F.coalesce(get("Currency"), F.lit("EUR"))).alias("currency"),
+        text.filled(text.trim(get("Payer"))).alias("payer"), text.filled(text.trim(get("Beneficiary"))).alias("payee"), text.filled(text.trim(get("Reference", "Payment reference"))).alias("named"), get("Transaction ID", "ID").alias("given"),
+    ))
+    rows = materialize(rows.withColumns({"a": parse_amount(F.col("amount")), "day": parse_bank_date(F.col("booking"))["date"]}))
+    incoming = F.coalesce("a.direction", F.lit("INCOMING")) == "INCOMING"
+    after = lambda word: F.when(F.startswith(F.lower("said"), F.lit(word)), text.trim(F.substr("said", F.lit(len(word) + 1)))).otherwise(F.col("said"))
+    party = F.when(incoming, F.coalesce("payer", after("from "))).otherwise(F.coalesce("payee", after("to ")))
+    made = F.concat_ws("-", F.lit("revolut"), F.coalesce(F.col("day").cast("string"), "booking"), F.coalesce("a.amount_cents", F.lit(-1)).cast("string"), (F.col("row_no") + 1).cast("string"))
+    cols = {"booking": F.col("booking"), "amount": F.col("amount"), "currency": F.col("currency"), "party": text.filled(party), "reference": F.coalesce("named", text.filled(F.col("said"))), "own_id": F.coalesce("given", made)}
     return _rows(rows, cols)
 
 
@@ -149,7 +157,7 @@ def stripe(files: DataFrame, options: ParseOptions) -> DataFrame:
 
 def _rows(rows: DataFrame, cols: dict[str, Column]) -> DataFrame:
     given = _null(*NAMES) | cols | {"row_no": F.col("row_no"), "raw": F.to_json("row"), "reversal": F.lit(None).cast("boolean")}
-    return rows.select("file", *[given[n].alias(n) for n in NAMES])
+    return materialize(rows.select("file", *[given[n].alias(n) for n in NAMES]))
 
 
 ENTRY = re.compile(r"^(\d{6})(\d{4})?(C|D|RC|RD)([A-Za-z])?([0-9]+(?:[.,][0-9]{1,2})?)(.*)$")
@@ -274,6 +282,9 @@ def camt_rows(content: str) -> list[tuple]:
         x.tag = x.tag.rpartition("}")[2].rpartition(":")[2]
     body = root if root.tag == "BkToCstmrStmt" else _node(root, "BkToCstmrStmt")
     if body is None:
+        low = content.lower()
+        if "<bal" in low and "<ntry" not in low:
+            return []  # balances without a statement
         raise ValueError("Invalid CAMT.053 XML: missing BkToCstmrStmt")
     yes = lambda node: (_text(node, "RvslInd") or "").lower() in ("true", "1")
     when = lambda node, kind: _text(node, kind, "Dt") or _text(node, kind, "DtTm")
@@ -338,7 +349,8 @@ PARSERS = dict(zip(FORMATS, (camt053, mt940, stripe, revolut, generic)))
 def typed(rows: DataFrame, source: str) -> DataFrame:
     """Canonical columns plus ``errors``, the list of what is wrong with a row."""
     amount, date, valued = parse_amount(F.col("amount")), parse_bank_date(F.col("booking")), parse_bank_date(F.col("valued"))
-    rows = rows.withColumns({"a": amount, "d": date, "v": valued})
+    # Written out, as in ``revolut``.
+    rows = materialize(rows.withColumns({"a": amount, "d": date, "v": valued}))
     way, booked = F.coalesce("way", "a.direction", F.lit("INCOMING")), F.coalesce(F.col("d.date").cast("string"), F.coalesce("booking", F.lit("")))
     made = fingerprint(F.col("account"), booked, F.coalesce("a.amount_cents", F.lit(-1)), F.col("currency"), F.col("bank_ref"), F.col("end_to_end"), way)
     wrong = F.array_compact(F.array(F.when(F.col("d.date").isNull(), F.concat(F.lit("booking_date: "), F.col("d.error"))), F.when(F.col("a.error").isNotNull(), F.concat(F.lit("amount_cents: "), F.col("a.error"))), F.when(F.length("currency") != 3, "currency: not three letters")))
@@ -357,8 +369,11 @@ def parse_statements(files: DataFrame, options: ParseOptions = ParseOptions()) -
             raise UnknownFormatError(f"Unknown format {options.format!r}; known: {', '.join(FORMATS)}")
         parts = [typed(PARSERS[chosen](files, options), chosen)]
     else:
+        # Texts are read and tried once; only formats that occur are parsed.
         known = files.withColumn("format", F.coalesce(detect_format(F.col("content")), F.raise_error(F.concat(F.lit("No parser detects "), "file")).cast("string")))
-        parts = [typed(PARSERS[f](known.where(F.col("format") == f).drop("format"), options), f) for f in FORMATS]
+        known = materialize(known)
+        present = {r["format"] for r in known.select("format").distinct().collect()} or {FORMATS[0]}
+        parts = [typed(PARSERS[f](known.where(F.col("format") == f).drop("format"), options), f) for f in FORMATS if f in present]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
