@@ -317,17 +317,23 @@ def least_documents(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, n
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's segments to the bytes that go, by chunk."""
     loose = zstandard.ZstdDecompressor()
-    keys, sizes, texts, least, entries, first = [], [], [], [], [], 0
+    # A segment of several chunks is sorted once, with the least of its documents.
+    index: dict[bytes, int] = {}
+    key_parts, size_parts, which, least, entries = [], [], [], [], []
     for chunk, payload in zip(rows["chunk"], rows["payload"]):
         key, size, text, n_spots, spots, names, owner = pickle.loads(loose.decompress(payload))
         docs = names[owner]
         ends = np.cumsum(size).tolist()
-        texts += [text[i:j] for i, j in zip([0, *ends], ends)]
-        keys.append(key), sizes.append(size)
+        mine = np.array([index.setdefault(text[i:j], len(index)) for i, j in zip([0, *ends], ends)], np.int64)
+        key_parts.append(key), size_parts.append(size), which.append(mine)
         least.append(np.minimum.reduceat(docs, np.cumsum(n_spots) - n_spots))
-        entries.append((chunk, first + np.repeat(np.arange(len(key)), n_spots), docs, spots))
-        first += len(key)
-    keys, sizes, least = np.concatenate(keys), np.concatenate(sizes).astype(np.int64), np.concatenate(least)
+        entries.append((chunk, np.repeat(mine, n_spots), docs, spots))
+    texts = list(index)
+    which, found = np.concatenate(which), np.concatenate(least)
+    keys, sizes, least = (np.empty(len(texts), kind) for kind in (np.uint64, np.int64, np.int64))
+    least[:] = np.iinfo(np.int64).max
+    keys[which], sizes[which] = np.concatenate(key_parts), np.concatenate(size_parts)
+    np.minimum.at(least, which, found)
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     group_start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
