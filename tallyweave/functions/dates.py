@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim
+from .text import let, trim
 
 INVALID = "InvalidDateError"
 #: Two-digit years from this on belong to the last century.
@@ -21,7 +21,11 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def parse_bank_date(raw: Column, locale: str = "EU") -> Column:
     """``struct(date, error)``; ``locale`` US reads ambiguous slashes month first."""
-    text = trim(F.coalesce(raw.cast("string"), F.lit("")))
+    found = let(trim(F.coalesce(raw.cast("string"), F.lit(""))), lambda text: _read(text, locale))
+    return let(found, lambda d: F.struct(d.alias("date"), F.when(d.isNull(), INVALID).alias("error")))
+
+
+def _read(text: Column, locale: str) -> Column:
     pick = lambda pattern, group: F.regexp_extract(text, pattern, group)
     full = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
     short, iso = r"^(\d{2})(\d{2})(\d{2})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})"
@@ -32,7 +36,7 @@ def parse_bank_date(raw: Column, locale: str = "EU") -> Column:
     month_first = F.when(one.try_cast("int") > 12, False).when(two.try_cast("int") > 12, True).otherwise(locale == "US")
     by_slash = F.when(month_first, _date(full(pick(slashed, 3)), one, two)).otherwise(_date(full(pick(slashed, 3)), two, one))
     spelled = F.coalesce(*[F.try_to_date(text, p) for p in ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")])
-    date = (
+    return (
         F.when(text.rlike(short), _date(F.concat(century, pick(short, 1)), pick(short, 2), pick(short, 3)))
         .when(text.rlike(iso), _date(pick(iso, 1), pick(iso, 2), pick(iso, 3)))
         .when(text.rlike(dotted), _date(full(pick(dotted, 3)), pick(dotted, 2), pick(dotted, 1)))
@@ -40,7 +44,6 @@ def parse_bank_date(raw: Column, locale: str = "EU") -> Column:
         .when(text.rlike(slashed), by_slash)
         .otherwise(spelled)
     )
-    return F.struct(date.alias("date"), F.when(date.isNull(), INVALID).alias("error"))
 
 
 def day_difference(a: Column, b: Column) -> Column:

@@ -6,6 +6,8 @@ Patterns spell out ASCII word edges and the wide notion of white space that the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,12 @@ def clean_company(c: Column) -> Column:
     return squeeze(F.regexp_replace(bare, _words(LEGAL_FORMS), " "))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value as a variable.  Written in place, an expression that uses another one several
+    times, which does the same, grows with each step until planning and compiling it take longer than the data."""
+    return F.transform(F.array(value), then)[0]
+
+
 def strip_invoice_prefix(c: Column) -> Column:
     """An invoice number without its prefix and year."""
     gap = rf"[-_/#{SPACE}]*"
