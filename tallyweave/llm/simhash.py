@@ -76,15 +76,16 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs of distinct fingerprints within two bits."""
     index = _variants(prints)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = materialize(index.join(shared, "key"))
+    # Sort-merge joins at every size, here and in ``graph``: the tables grow with the documents, and a broadcast is held by the driver.
+    sized = materialize(index.join(shared.hint("merge"), "key"))
     few = sized.where(F.col("n") <= crowd).select("key", "fp")
     left, right = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
-    pairs = left.join(right, "key").where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
+    pairs = left.join(right.hint("merge"), "key").where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
     crowded = sized.where(F.col("n") > crowd).select("fp").distinct()
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     near = crowded.select("fp", F.explode(flips).alias("middle"))
     hubs = near.groupBy("middle").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("middle", "b")
-    around = near.join(hubs, "middle").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    around = near.join(hubs.hint("merge"), "middle").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.union(around)
 
 
@@ -93,7 +94,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     rows = materialize(fingerprints(docs, width))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     roots = components(links(prints.select("fp"))).withColumnsRenamed({"node": "fp"})
-    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = prints.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of_print = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(of_print.hint("merge"), "fp").select("doc_id", "fp", "component_id")

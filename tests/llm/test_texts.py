@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallyweave.llm import quality, simhash, suffixes
+from tallyweave.llm import common, quality, simhash, suffixes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -132,3 +132,19 @@ def test_adjacent_common_prefixes():
         x, y = padded[a : a + 56].tolist(), padded[b : b + 56].tolist()
         want.append(next((i for i in range(56) if x[i] != y[i]), 56))
     assert suffixes.common_prefixes(packed, ranked).tolist() == want
+
+
+def test_simhash_sends_no_table_to_the_driver(docs, monkeypatch):
+    """Joins of tables that grow with the documents are no broadcasts, which the driver would hold."""
+    from tallyweave.llm import graph
+
+    plans = []
+
+    def watched(df, *options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.materialize(df, *options)
+
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "materialize", watched)
+    plans.append(simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
