@@ -22,7 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of Jaccard similarity 0.8 on five words: the one with the smallest id."""
+    """One document of each group linked by SimHash fingerprints within two bits, or by a Jaccard similarity of 0.8 on five
+    words: the one with the smallest id."""
     docs = docs.select(*COLUMNS)
     same = shingles.near_duplicates(docs).where("doc_id = component_id").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
     found = materialize(same.groupBy("root").agg(F.min(F.struct("doc_id", "mark", "n")).alias("least")).select("least.*"))

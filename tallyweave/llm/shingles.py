@@ -1,4 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with candidates from bands of minimum hashes.
+"""Near-duplicates by SimHash fingerprints and by exact Jaccard similarity of word shingles.
+
+Texts whose fingerprints lie within two bits are linked as ``simhash`` links them: equal fingerprints are one, variants
+with one position blanked are joined and verified on all bits.  Texts of a Jaccard similarity of 0.8 or more, whose
+fingerprints may lie further apart, are linked too, with candidates from bands of minimum hashes; groups are those of
+both kinds of links together.
 
 Two texts of similarity 0.8 share a given band of 5 minimum hashes with probability 0.33, so all 32 bands miss them
 with probability 3e-6, and closer texts more rarely.  Bands that many texts share would make all pairs of a group;
@@ -20,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import flat, materialize, mix, slices, tidy
 from .graph import components
 from .simhash import LOWER, SEED
@@ -28,7 +34,7 @@ WIDTH, BANDS, ROWS = 5, 32, 5
 #: Texts that share a band beyond which they meet a hub before they meet each other.
 CROWD = 24
 FACTORS = np.random.default_rng(11).integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SCHEMA = "doc_id long, mark long, entry long, size int, bands array<long>"
+SCHEMA = "doc_id long, mark long, entry long, size int, bands array<long>, fp long"
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -74,11 +80,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, data = flat(batch.column(2))
         for i, j in slices(at):
             raw = data[at[i] : at[j]].tobytes()
-            sets = [shingles(raw[a:b]) for a, b in zip(at[i:j] - at[i], at[i + 1 : j + 1] - at[i])]
+            texts = [raw[a:b] for a, b in zip(at[i:j] - at[i], at[i + 1 : j + 1] - at[i])]
+            sets = [shingles(t) for t in texts]
+            prints = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
             entry = _entries(sets)
             size = np.array([len(s) for s in sets], np.int32)
-            columns = [*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(entry), pa.array(size), _lists(list(map(bands, sets)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "entry", "size", "bands"])
+            columns = [*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(entry), pa.array(size), _lists(list(map(bands, sets))), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "entry", "size", "bands", "fp"])
 
 
 def _bits(wanted: DataFrame) -> np.ndarray:
@@ -192,11 +200,23 @@ def links(rows: DataFrame, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return found.union(_similar(_rare_pairs(_rooted(rooted.drop("root"), found), sets), sets))
 
 
+def print_links(rows: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` of entries whose fingerprints are equal or, by ``simhash.links``, within two bits."""
+    # Each fingerprint stands for itself as its least entry.
+    owners = rows.select("fp", "entry").distinct()
+    prints = materialize(owners.groupBy("fp").agg(F.min("entry").alias("least")))
+    equal = owners.join(prints.hint("merge"), "fp").where("entry <> least").selectExpr("entry a", "least b")
+    left, right = prints.selectExpr("fp a", "least of_a"), prints.selectExpr("fp b", "least of_b")
+    near = simhash.links(prints.select("fp")).join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return equal.union(near.where("of_a <> of_b").selectExpr("of_a a", "of_b b"))
+
+
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``(doc_id, mark, root, component_id)`` for each row; groups differ by root, component_id is their smallest doc_id."""
     rows = materialize(docs.select(F.col("doc_id").cast("long"), mark().alias("mark"), "text").mapInArrow(tidy(_sketched), SCHEMA))
     entries = rows.groupBy("entry").agg(F.min("doc_id").alias("doc"))
-    rooted = entries.join(components(links(rows, docs, crowd)).withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+    edges = print_links(rows).union(links(rows, docs, crowd))
+    rooted = entries.join(components(edges).withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_entry = rooted.join(least, "root").select("entry", "root", "component_id")
     return rows.select("doc_id", "mark", "entry").join(of_entry, "entry").drop("entry")

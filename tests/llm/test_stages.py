@@ -117,3 +117,18 @@ def test_mixing_stage_repeats_documents(spark):
         share[r.doc_id, text[r.doc_id, r["size"], r["source"]]].append(r.taken / r["size"])
     want = Counter({k: int(sum(v) / len(v) + 0.5) for k, v in share.items()})
     assert +want == Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()) and len(set(want.values())) > 1
+
+
+def test_near_dedup_links_by_fingerprints(spark):
+    """Texts whose fingerprints lie within two bits are one group, though their sets of five words are further apart."""
+    from tallyweave.llm import simhash
+
+    rng = random.Random(8)
+    said = [f"w{i}" for i in range(61)]
+    long = said * 30
+    # Twice the same words, once with many stray ones behind: the repeats decide every bit of the fingerprint.
+    texts = [" ".join(long), " ".join(long + [f"x{i}" for i in range(24)]), " ".join(f"y{rng.randrange(5000)}" for _ in range(80))]
+    a, b, c = (simhash.fingerprint(t.encode()) for t in texts)
+    assert (a ^ b).bit_count() <= 2 < (a ^ c).bit_count() and not similar(*map(sets_of, texts[:2]))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2]
