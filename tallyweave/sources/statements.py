@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -326,12 +327,25 @@ def camt_rows(content: str) -> list[tuple]:
     return out
 
 
+#: Texts of one part of a table: Spark reads a part's rows up to 4,096 at once, so many long texts would stand in memory.
+TEXTS = 64
+#: Rows that go back to Spark at once.
+STRETCH = 4096
+
+
 def _entries(files: DataFrame, read) -> DataFrame:
-    @F.pandas_udf(f"array<struct<{', '.join(c.replace(' ', ':') for c in RAW.split(', '))}>>")
-    def parsed(content: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(NAMES, r)) for r in read(c)] for c in content])
+    """The rows of each file, one file after the other: a task holds the entries of one text only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1)):
+                file, rows = file.as_py(), read(content.as_py())
+                for i in range(0, len(rows), STRETCH):
+                    part = rows[i : i + STRETCH]
+                    columns = [pa.array(c, pa.int32() if n == "row_no" else pa.bool_() if n == "reversal" else pa.string()) for n, c in zip(NAMES, zip(*part))]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.string()), *columns], ["file", *NAMES])
 
-    return files.select("file", F.explode(parsed("content")).alias("e")).select("file", "e.*")
+    return files.select("file", "content").mapInArrow(run, f"file string, {RAW}")
 
 
 def camt053(files: DataFrame, options: ParseOptions) -> DataFrame:
@@ -371,7 +385,7 @@ def parse_statements(files: DataFrame, options: ParseOptions = ParseOptions()) -
     else:
         # Texts are read and tried once; only formats that occur are parsed.
         known = files.withColumn("format", F.coalesce(detect_format(F.col("content")), F.raise_error(F.concat(F.lit("No parser detects "), "file")).cast("string")))
-        known = materialize(known)
+        known = materialize(known, most=TEXTS)
         present = {r["format"] for r in known.select("format").distinct().collect()} or {FORMATS[0]}
         parts = [typed(PARSERS[f](known.where(F.col("format") == f).drop("format"), options), f) for f in FORMATS if f in present]
     rows = parts[0]

@@ -1,7 +1,7 @@
 import pytest
 
 from tallyweave.plans import service
-from tallyweave.sources import synthetic
+from tallyweave.sources import statements, synthetic
 from tallyweave.sources.csv import parse_csv
 from tallyweave.sources.invoices import InvalidInvoiceDataError, parse_invoices
 from tallyweave.sources.statements import ParseOptions, camt_rows, mt940_rows, parser_id
@@ -111,3 +111,21 @@ def test_generated_statements_read_back(spark, form):
     assert not bad
     want = [(r.amount_cents, r.direction, r.booking_date) for r in made.orderBy("i").collect()]
     assert [(r.amount_cents, r.direction, r.booking_date) for r in good] == want
+
+
+def test_statement_texts_are_read_a_few_at_a_time(spark):
+    """Parts of the written table hold a bounded number of texts, and a task holds the rows of one text."""
+    text = ":20:A\n:25:DE1\n:60F:C240901EUR1,00\n:61:2409010901C{0},00NTRF//R{0}\n:86:Payment {0}\n:62F:C240901EUR2,00\n-"
+    n = 2 * statements.TEXTS + 3
+    files = spark.createDataFrame([(f"f{i:03d}", text.format(i + 1)) for i in range(n)], "file string, content string").coalesce(1)
+    written = []
+    keep = statements.materialize
+    try:
+        statements.materialize = lambda df, *a, **k: (written.append((df, keep(df, *a, **k))), written[-1][1])[1]
+        found = statements.parse_statements(files).transactions
+    finally:
+        statements.materialize = keep
+    assert sorted((r.file, r.amount_cents, r.id) for r in found.collect()) == sorted((f"f{i:03d}", 100 * (i + 1), f"R{i + 1}") for i in range(n))
+    known, rows = written[0][1], written[1][0]
+    assert len(known.inputFiles()) == 3 and max(r["count"] for r in known.groupBy("_metadata.file_path").count().collect()) == statements.TEXTS
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
