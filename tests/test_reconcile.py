@@ -146,3 +146,52 @@ def test_partitions_do_not_matter(spark, parts):
     a, b = frame(spark, txs, TRANSACTION, "tx_ord").repartition(parts), frame(spark, invs, INVOICE, "inv_ord").repartition(parts)
     got = [(r.transaction.id, r.invoice and r.invoice.id, r.status) for r in reconcile(a, b).matches.orderBy("match_no").collect()]
     assert got == [g[:3] for g in run(spark, txs, invs)[1]]
+
+
+def serial_choice(rows):
+    """The candidates one after the other: (payment, invoice, status, confidence, place, first note) of what is settled."""
+    from tallyweave.operators.resolve import CLOSE, LEVELS
+
+    rows = sorted(rows, key=lambda r: (-r["confidence"], -LEVELS[r["level"]], r["tx_ord"], r["pool_ord"]))
+    paid, taken, out = set(), set(), []
+    for lead in rows:
+        if lead["tx_id"] in paid or lead["invoice_id"] in taken:
+            continue
+        close = [r for r in rows if abs(lead["confidence"] - r["confidence"]) <= CLOSE]
+        payers = [r for r in close if r["invoice_id"] == lead["invoice_id"] and r["tx_id"] != lead["tx_id"] and r["tx_id"] not in paid]
+        bills = [r for r in close if r["tx_id"] == lead["tx_id"] and r["invoice_id"] != lead["invoice_id"] and r["invoice_id"] not in taken]
+        taken.add(lead["invoice_id"])
+        claim = f"Ambiguous match: multiple transactions claim invoice {lead['invoice_number']} with close confidence scores"
+        status, confidence, notes = "REVIEW_NEEDED" if payers or bills else lead["status"], lead["confidence"], lead["discrepancies"]
+        if payers:
+            notes = [f"{claim} ({lead['tx_id']}, {', '.join(f'{r["tx_id"]} (score: {r["confidence"]:.2f})' for r in payers)})", *notes]
+        elif bills and lead["level"] == "FEE_TOLERANCE":
+            named = ", ".join(f"{r['invoice_number']} ({r['invoice_amount'] / 100:.2f} EUR)" for r in (lead, *bills))
+            confidence, notes = 0.65, ["Ambiguous match: multiple invoices qualify within fee tolerance window", f"Conflicting candidates: {named}", f"Suggested candidate: {lead['invoice_number']} with fee deduction of {lead['fee_cents'] / 100:.2f} EUR"]
+        elif bills:
+            notes = ["Ambiguous match: payment matches multiple invoices with close confidence scores", *notes]
+        out.append((lead["tx_id"], lead["invoice_id"], status, confidence, 0, tuple(notes)))
+        out += [(r["tx_id"], r["invoice_id"], "REVIEW_NEEDED", r["confidence"], n, (f"{claim} ({r['tx_id']}, {lead['tx_id']})", *r["discrepancies"])) for n, r in enumerate(payers, 1)]
+        paid |= {lead["tx_id"], *(r["tx_id"] for r in payers)}
+    return out
+
+
+def test_resolve_equals_the_serial_choice_in_no_single_task(spark, monkeypatch):
+    """One component of many candidates is settled as by the serial choice, in few rounds, not group by group."""
+    from tallyweave.operators import resolve as r
+
+    rng, rows = random.Random(2), {}
+    for t, i in [(n, n) for n in range(120)] + [(n + 1, n) for n in range(119)] + [(rng.randrange(120), rng.randrange(120)) for _ in range(150)]:
+        fee = rng.choice([None, 150])
+        rows[t, i] = dict(
+            tx_ord=t, tx_id=f"t{t}", tx_amount=1000 + t, tx_currency="EUR", inv_ord=i, invoice_id=f"i{i}", invoice_number=f"N-{i}", invoice_amount=2000 + i, invoice_currency="EUR", confidence=rng.choice([0.63, 0.65, 0.7, 0.86, 0.9]),
+            level="FEE_TOLERANCE" if fee else rng.choice(["EXACT_METRICS", "FUZZY_REFERENCE"]), status="MATCHED", discrepancies=[f"n{t}"], fee_cents=fee, requires_force=None, pool_ord=(1 if fee else 0, i, 0),
+        )
+    schema = "tx_ord long, tx_id string, tx_amount long, tx_currency string, inv_ord long, invoice_id string, invoice_number string, invoice_amount long, invoice_currency string, confidence double, level string, status string, discrepancies array<string>, fee_cents long, requires_force boolean, pool_ord struct<kind: int, a: long, b: long>"
+    plans, keep = [], r.materialize
+    monkeypatch.setattr(r, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    found = r.resolve(spark.createDataFrame([tuple(x.values()) for x in rows.values()], schema))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    got = [(x.tx_id, x.invoice_id, x.status, x.confidence, x.place, tuple(x.discrepancies)) for x in found.collect()]
+    assert sorted(got) == sorted(serial_choice(rows.values()))
+    assert len(plans) < 30 and not any("FlatMapGroups" in p for p in plans)
