@@ -7,6 +7,9 @@ together.  Where both agree with the chunks' own ids the join is exact; where th
 are taken from the common encoding, as soon as the ids further out agree on both sides; if no stretch of the two chunks
 agrees, the whole text is encoded anew.
 
+Where the tokenizer is of the kind that ``Lean`` knows by its definition, a chunk goes whole through the same model with
+the steps before it done for many chunks at once; its ends are still held against the tokenizer itself at every join.
+
 Sharing is within a task: one shared by all tasks would send every text through a shuffle, and the ids back.
 
 Defined results: a null text is an empty text with no ids; repeated rows give repeated rows; an empty table gives an
@@ -16,10 +19,12 @@ does it.  A text without white space is one chunk.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import SEPARATOR, RollingHash, flat, slices, tidy
@@ -32,6 +37,101 @@ STRETCH = 1 << 18
 BLANKS = bytes(32 if SEPARATOR[c] else c for c in range(256))
 
 
+#: What ``Lean`` stands for: steps before the model, as their definitions give them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITS = [
+    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+BLANK, LETTER, DIGIT, SYMBOL, ODD = range(5)
+
+
+class Lean:
+    """The steps before the model of a tokenizer with ``NORMALIZERS`` and ``SPLITS``, for many texts at once: what is
+    left to the library is the model on pieces that stand between blanks.
+
+    It holds for characters below U+0300, where NFC changes nothing and lower case is that of each character alone; what
+    such a character becomes, its class and its bytes' letters are asked of the tokenizer.  Texts with others, or with an
+    added token, are left out.
+    """
+
+    LIMIT = 0x300
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer(tokenizer.model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        pieces = lambda t: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(t)]
+        self.lower = np.full(self.LIMIT + 1, 32, np.uint16)
+        self.kind = np.full(self.LIMIT + 1, ODD, np.uint8)
+        self.first, self.second = np.full(self.LIMIT + 1, 32, np.uint16), np.zeros(self.LIMIT + 1, np.uint16)
+        for c in range(self.LIMIT):
+            x = tokenizer.normalizer.normalize_str(chr(c))
+            if len(x) != 1 or ord(x) >= self.LIMIT:
+                continue
+            names = pieces(x)
+            if not names:
+                self.kind[c] = BLANK
+            elif len(names) == 1 and len(names[0]) <= 2:
+                alike = [k for k, t in ((LETTER, f"a{x}a"), (SYMBOL, f"!{x}!")) if len(pieces(t)) == 1]
+                self.kind[c] = alike[0] if alike else DIGIT if len(pieces(x + x)) == 2 else ODD
+                self.lower[c], self.first[c] = ord(x), ord(names[0][0])
+                self.second[c] = ord(names[0][1]) if len(names[0]) == 2 else 0
+
+    @classmethod
+    def of(cls, tokenizer) -> Lean | None:
+        """None if the tokenizer is of another kind."""
+        state = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+        before, split = (state(getattr(tokenizer, k, None)) for k in ("normalizer", "pre_tokenizer"))
+        if (before.get("normalizers"), split.get("pretokenizers")) != (NORMALIZERS, SPLITS):
+            return None
+        if any(x is not None for x in (tokenizer.post_processor, tokenizer.truncation, tokenizer.padding)):
+            return None
+        return cls(tokenizer) if all(not t.normalized for t in tokenizer.get_added_tokens_decoder().values()) else None
+
+    def spaced(self, texts: list[bytes]) -> list[str | None]:
+        """Each text as the model gets it, a blank between any two pieces; None for a text left out."""
+        raw = b" ".join([*texts, b"   "])
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        end = np.cumsum(size + 1) - 1
+        count = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=count[1:])
+        start, end = count[end - size], count[end]
+        code = np.minimum(np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32), self.LIMIT)
+        kind, lower, second = self.kind[code], self.lower[code], self.second[code]
+        odd = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(kind == ODD, out=odd[1:])
+        begins = kind == DIGIT
+        begins[0] = True
+        begins[1:] |= kind[1:] != kind[:-1]
+        # A quote that begins a piece takes one of the endings s t m d re ve ll along, and only that.
+        quote = np.flatnonzero((lower == 39) & begins)
+        one, two = lower[quote + 1], lower[quote + 2]
+        short = quote[np.isin(one, [*b"stmd"])]
+        long = quote[((two == 101) & np.isin(one, [*b"rv"])) | ((one == 108) & (two == 108))]
+        begins[short + 1] = begins[long + 1] = False
+        begins[short + 2] = begins[long + 3] = True
+        begins &= kind != BLANK
+        begins[1:] &= kind[:-1] != BLANK
+        begins[0] = False
+        at = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(1 + begins + (second > 0), out=at[1:])
+        out = np.full(at[-1], 32, np.uint16)
+        place = at[:-1] + begins
+        out[place] = self.first[code]
+        double = np.flatnonzero(second)
+        out[place[double] + 1] = second[double]
+        line = out.astype("<u2").tobytes().decode("utf-16-le")
+        whole = (odd[start] == odd[end]).tolist()
+        for t in self.added:
+            if t in raw:
+                whole = [ok and t not in x for ok, x in zip(whole, texts)]
+        return [line[a:b] if ok else None for ok, a, b in zip(whole, at[start].tolist(), at[end].tolist())]
+
+
 class ChunkCoder:
     """Encodes texts by shared chunks.  ``room`` bounds the bytes of remembered chunks and joins; beyond, both start
     anew."""
@@ -41,7 +141,8 @@ class ChunkCoder:
         self.chunks: dict[bytes, bytes] = {}
         self.joins: dict[tuple[bytes, bytes], tuple[bytes, bytes, bytes]] = {}
         self.hash = RollingHash()
-        self.names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.lean = Lean.of(tokenizer)
+        self.names = pa.array([tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))])
         self.plain = tokenizer.decoder is None  # decoding then joins the tokens' names with spaces
         added = [str(t.content).encode() for t in tokenizer.get_added_tokens_decoder().values()]
         # A special token that holds white space must fit between the ends that are compared.
@@ -49,12 +150,23 @@ class ChunkCoder:
 
     def direct(self, texts: list[bytes]) -> list[bytes]:
         """The ids (int32) of texts, each encoded as it stands."""
+        return self.found(self.tokenizer, [t.decode("utf-8") for t in texts])
+
+    def found(self, tokenizer, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 256):
-            found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts[i : i + 256]], add_special_tokens=False)
-            out += [np.array(x.ids, np.int32).tobytes() for x in found]
+            out += [np.array(x.ids, np.int32).tobytes() for x in tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
         return out
 
+    def whole(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of chunks, each encoded whole: by the lean steps, or as it stands where they do not hold."""
+        if not self.lean or not chunks:
+            return self.direct(chunks)
+        spaced = self.lean.spaced(chunks)
+        lean = iter(self.found(self.lean.tokenizer, [t for t in spaced if t is not None]))
+        rest = iter(self.direct([c for c, t in zip(chunks, spaced) if t is None]))
+        return [next(rest if t is None else lean) for t in spaced]
+
     def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Positions of ``data`` where chunks begin: the starts of texts (offsets ``at``), and the first white space at
         or behind each window inside a text whose hash meets the condition."""
@@ -97,6 +209,8 @@ class ChunkCoder:
     def learn(self, pairs: set[tuple[bytes, bytes]]) -> None:
         """Remember for each tail and head their ids: of the tail, of both together, of the head."""
         new = [p for p in pairs if p not in self.joins]
+        if not new:
+            return
         apart = {t for p in new for t in p}
         of = dict(zip(apart, self.direct(list(apart))))
         for (a, b), both in zip(new, self.direct([a + b for a, b in new])):
@@ -142,18 +256,17 @@ class ChunkCoder:
             self.chunks, self.joins, self.held = {}, {}, 0
         split = [[text[i:j] for i, j in zip(cut, [*cut[1:], len(text)])] for text, cut in zip(texts, cuts)]
         fresh = list({c for mine in split for c in mine if c not in self.chunks})
-        for chunk, ids in zip(fresh, self.direct(fresh)):
+        for chunk, ids in zip(fresh, self.whole(fresh)):
             self.chunks[chunk] = ids
             self.held += len(chunk) + len(ids) + 200
         self.learn({self.ends(a, b, 2) for mine in split for a, b in zip(mine, mine[1:])})
         return [self.joined(text, mine) for text, mine in zip(texts, split)]
 
-    def decode(self, ids: list[bytes]) -> list[str]:
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         """The decoded form of each text's ids."""
-        lists = [np.frombuffer(x, np.int32).tolist() for x in ids]
         if self.plain:
-            return [" ".join(map(self.names.__getitem__, x)) for x in lists]
-        return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
+            return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
+        return pa.array(self.tokenizer.decode_batch(ids.to_pylist(), skip_special_tokens=False), pa.string())
 
 
 def _coded(path: str):
@@ -182,7 +295,7 @@ def _coded(path: str):
                 ids = pa.array(np.frombuffer(b"".join(got), np.int32))
                 ends = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(coder.decode(got), pa.string())], ["doc_id", "token_ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, coder.decode(lists)], ["doc_id", "token_ids", "decoded"])
 
     return tidy(run)
 

@@ -35,6 +35,65 @@ def test_letters_that_normalize_to_marks():
     assert got == coder.direct([t.encode() for t in texts])
 
 
+def test_lean_steps_give_the_ids_of_the_tokenizer():
+    """Every two characters below U+0300, quotes and their endings, and the texts that are left out."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    coder = tokens.ChunkCoder(Tokenizer.from_file(tokenizer_path()))
+    known = [chr(c) for c in range(coder.lean.LIMIT) if coder.lean.kind[c] != tokens.ODD]
+    assert len(known) > 750
+    some = ["'", "'", "s", "t", "re", "ve", "m", "ll", "l", "d", "S", "RE", "v", "a", "7", "\xb2", "!", ".", " ", "\n", "\xa0", "\x1c", "\xad", "\xc9", "\xdf", "\u017f"]
+    texts = ["".join(x + y for y in known) for x in known] + ["".join(rng.choices(some, k=rng.randint(0, 14))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    assert None not in coder.lean.spaced(raw)
+    # Many texts at once, one alone, and texts left out among others.
+    assert coder.whole(raw) == coder.direct(raw)
+    assert [coder.whole([r])[0] for r in raw[-300:]] == coder.direct(raw[-300:])
+    mixed = [t.encode() for t in [*ODD, *texts[-20:], "e\u0301 E\u0301", "\u03a3\u03b1\u03a3", "x<|endoftext|>y's", "X<|ENDOFTEXT|>Y"]]
+    rng.shuffle(mixed)
+    assert coder.whole(mixed) == coder.direct(mixed) and any(coder.lean.spaced(mixed)) and None in coder.lean.spaced(mixed)
+
+
+def test_lean_steps_only_for_their_kind():
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    assert tokens.Lean.of(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))) is None
+    assert tokens.Lean.of(across_spaces()) is None
+    for change in (dict(normalizer=normalizers.Lowercase()), dict(pre_tokenizer=pre_tokenizers.WhitespaceSplit())):
+        other = Tokenizer.from_file(tokenizer_path())
+        for k, v in change.items():
+            setattr(other, k, v)
+        assert tokens.Lean.of(other) is None
+        text = "It's 12 O'Clock,  \xc9t\xc9!".encode()
+        assert tokens.ChunkCoder(other).whole([text]) == tokens.ChunkCoder(other).direct([text])
+
+
+def test_only_joins_take_the_slow_steps():
+    """Of plain texts, only the words around joins pass the tokenizer's own normalizer and splits, and each chunk goes
+    whole through the model."""
+    from tokenizers import Tokenizer
+
+    class Counting(tokens.ChunkCoder):
+        slow, calls = 0, []
+
+        def found(self, tokenizer, texts):
+            if tokenizer is self.tokenizer:
+                self.slow += sum(len(t.encode()) for t in texts)
+            else:
+                self.calls += texts
+            return super().found(tokenizer, texts)
+
+    coder = Counting(Tokenizer.from_file(tokenizer_path()))
+    rng = random.Random(3)
+    raw = [" ".join(rng.choice(["The", "caf\xe9's", "n\xb0", "12,5", "stories.", "it'll"]) + str(rng.randrange(99)) for _ in range(3000)).encode() for _ in range(5)]
+    begins = [[0, *(i for i in range(1500, len(r), 1500) if r[i] & 0xC0 != 0x80)] for r in raw]
+    got = coder.encode(raw, begins)
+    assert coder.slow < 0.15 * sum(map(len, raw)) and len(coder.calls) == len(coder.chunks)
+    assert got == tokens.ChunkCoder(Tokenizer.from_file(tokenizer_path())).direct(raw)
+
+
 def across_spaces():
     """A tokenizer that parts nothing: its tokens hold white space, inside chunks and across joins."""
     from tokenizers import Tokenizer, models
