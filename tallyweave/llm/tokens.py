@@ -97,34 +97,38 @@ class Lean:
         raw = b" ".join([*texts, b"   "])
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         end = np.cumsum(size + 1) - 1
-        count = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=count[1:])
-        start, end = count[end - size], count[end]
-        code = np.minimum(np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32), self.LIMIT)
-        kind, lower, second = self.kind[code], self.lower[code], self.second[code]
-        odd = np.zeros(len(code) + 1, np.int64)
-        np.cumsum(kind == ODD, out=odd[1:])
+        start, code = end - size, np.frombuffer(raw, np.uint8)
+        if not raw.isascii():
+            count = np.zeros(len(raw) + 1, np.int32)
+            np.cumsum((code & 0xC0) != 0x80, out=count[1:])
+            start, end = count[start], count[end]
+            code = np.minimum(np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32), self.LIMIT).astype(np.uint16)
+        kind = self.kind[code]
         begins = kind == DIGIT
-        begins[0] = True
         begins[1:] |= kind[1:] != kind[:-1]
+        begins[0] = True
         # A quote that begins a piece takes one of the endings s t m d re ve ll along, and only that.
-        quote = np.flatnonzero((lower == 39) & begins)
-        one, two = lower[quote + 1], lower[quote + 2]
+        quote = np.flatnonzero((code == 39) & begins)
+        one, two = self.lower[code[quote + 1]], self.lower[code[quote + 2]]
         short = quote[np.isin(one, [*b"stmd"])]
         long = quote[((two == 101) & np.isin(one, [*b"rv"])) | ((one == 108) & (two == 108))]
         begins[short + 1] = begins[long + 1] = False
         begins[short + 2] = begins[long + 3] = True
-        begins &= kind != BLANK
-        begins[1:] &= kind[:-1] != BLANK
+        # Only a piece right behind another needs a blank.
+        filled = kind != BLANK
         begins[0] = False
-        at = np.zeros(len(code) + 1, np.int64)
-        np.cumsum(1 + begins + (second > 0), out=at[1:])
-        out = np.full(at[-1], 32, np.uint16)
-        place = at[:-1] + begins
-        out[place] = self.first[code]
-        double = np.flatnonzero(second)
-        out[place[double] + 1] = second[double]
-        line = out.astype("<u2").tobytes().decode("utf-16-le")
+        begins[1:] &= filled[1:] & filled[:-1]
+        double = np.flatnonzero(self.second[code])
+        wide = 1 + begins.view(np.int8)
+        wide[double] += 1
+        at = np.zeros(len(code) + 1, np.int32)
+        np.cumsum(wide, out=at[1:])
+        out = np.full(at[-1], 32, "<u2")
+        out[at[:-1] + begins] = self.first[code]
+        out[at[double] + begins[double] + 1] = self.second[code[double]]
+        line = out.tobytes().decode("utf-16-le")
+        odd = np.zeros(len(code) + 1, np.int32)
+        np.cumsum(kind == ODD, out=odd[1:])
         whole = (odd[start] == odd[end]).tolist()
         for t in self.added:
             if t in raw:
@@ -162,10 +166,17 @@ class ChunkCoder:
         """The ids of chunks, each encoded whole: by the lean steps, or as it stands where they do not hold."""
         if not self.lean or not chunks:
             return self.direct(chunks)
-        spaced = self.lean.spaced(chunks)
-        lean = iter(self.found(self.lean.tokenizer, [t for t in spaced if t is not None]))
-        rest = iter(self.direct([c for c, t in zip(chunks, spaced) if t is None]))
-        return [next(rest if t is None else lean) for t in spaced]
+        order = sorted(range(len(chunks)), key=lambda i: chunks[i].isascii())
+        out = [b""] * len(chunks)
+        for k in range(0, len(order), 256):
+            part = order[k : k + 256]
+            spaced = self.lean.spaced([chunks[i] for i in part])
+            lean, rest = ([i for i, t in zip(part, spaced) if (t is None) == left] for left in (False, True))
+            for i, ids in zip(lean, self.found(self.lean.tokenizer, [t for t in spaced if t is not None])):
+                out[i] = ids
+            for i, ids in zip(rest, self.direct([chunks[i] for i in rest])):
+                out[i] = ids
+        return out
 
     def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Positions of ``data`` where chunks begin: the starts of texts (offsets ``at``), and the first white space at
@@ -174,8 +185,8 @@ class ChunkCoder:
         for i in range(0, len(data) - WINDOW, STRETCH):
             part = data[i : i + STRETCH + WINDOW]
             sums = self.hash.sums(part)
-            start = np.arange(min(STRETCH, len(part) - WINDOW))
-            hits.append(np.flatnonzero(self.hash.ranges(sums, start, start + WINDOW) >> np.uint64(64 - BITS) == 0) + i)
+            n = min(STRETCH, len(part) - WINDOW)
+            hits.append(np.flatnonzero(self.hash.ranges(sums, slice(n), slice(WINDOW, n + WINDOW)) >> np.uint64(64 - BITS) == 0) + i)
         if not hits:
             return at[:-1]
         hit, blank = np.concatenate(hits), np.flatnonzero(SEPARATOR[data])
