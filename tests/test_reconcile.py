@@ -195,3 +195,25 @@ def test_resolve_equals_the_serial_choice_in_no_single_task(spark, monkeypatch):
     got = [(x.tx_id, x.invoice_id, x.status, x.confidence, x.place, tuple(x.discrepancies)) for x in found.collect()]
     assert sorted(got) == sorted(serial_choice(rows.values()))
     assert len(plans) < 30 and not any("FlatMapGroups" in p for p in plans)
+
+
+@pytest.mark.parametrize("few", [0, 100, 1 << 21])
+def test_resolve_in_rounds_of_narrow_rows_or_at_once(spark, monkeypatch, few):
+    """Rounds compare numbers, without texts, and the last few candidates need no rounds: with the serial result."""
+    from tallyweave.operators import resolve as r
+
+    rng, rows = random.Random(2), {}
+    for t, i in [(n, n) for n in range(120)] + [(n + 1, n) for n in range(119)] + [(rng.randrange(120), rng.randrange(120)) for _ in range(150)]:
+        fee = rng.choice([None, 150])
+        rows[t, i] = dict(
+            tx_ord=t, tx_id=f"t{t}", tx_amount=1000 + t, tx_currency="EUR", inv_ord=i, invoice_id=f"i{i}", invoice_number=f"N-{i}", invoice_amount=2000 + i, invoice_currency="EUR", confidence=rng.choice([0.63, 0.65, 0.7, 0.86, 0.9]),
+            level="FEE_TOLERANCE" if fee else rng.choice(["EXACT_METRICS", "FUZZY_REFERENCE"]), status="MATCHED", discrepancies=[f"n{t}"], fee_cents=fee, requires_force=None, pool_ord=(1 if fee else 0, i, 0),
+        )
+    schema = "tx_ord long, tx_id string, tx_amount long, tx_currency string, inv_ord long, invoice_id string, invoice_number string, invoice_amount long, invoice_currency string, confidence double, level string, status string, discrepancies array<string>, fee_cents long, requires_force boolean, pool_ord struct<kind: int, a: long, b: long>"
+    seen, one = [], r._round
+    monkeypatch.setattr(r, "FEW", few)
+    monkeypatch.setattr(r, "_round", lambda left: (seen.append(left.columns), one(left))[1])
+    found = r.resolve(spark.createDataFrame([tuple(x.values()) for x in rows.values()], schema))
+    got = [(x.tx_id, x.invoice_id, x.status, x.confidence, x.place, tuple(x.discrepancies)) for x in found.collect()]
+    assert sorted(got) == sorted(serial_choice(rows.values()))
+    assert bool(seen) == (few < len(rows)) and all(c == ["no", "tx_ord", "bill", "confidence"] for c in seen)
