@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,28 @@ def test_fingerprint(spark):
 
 def test_rounding(spark):
     assert one(spark, "0.285", lambda c: fuzzy.round_cents(c.cast("double"))) == 0.28
+
+
+def test_tables_of_strings_score_as_pairs_do(monkeypatch):
+    """Many pairs at once, in blocks, to the last bit, longer strings than a table takes included."""
+    rng = random.Random(4)
+    monkeypatch.setattr(fuzzy, "BLOCK", 37)
+    monkeypatch.setattr(fuzzy, "TOKENS", 50)
+    word = lambda n=12: "".join(rng.choice("ab12\x00é€𝒳 ") for _ in range(rng.randint(0, n)))
+    a, b = [word() for _ in range(600)] + ["x" * 70, "customer 000000012"], [word() for _ in range(600)] + ["x" * 69 + "y", "customer 000100210"]
+    assert fuzzy.jaro_winklers(a, b).tolist() == [fuzzy.jaro_winkler(x, y) for x, y in zip(a, b)]
+    assert fuzzy.company_similarities(a, b).tolist() == [fuzzy.company_similarity(x, y) for x, y in zip(a, b)]
+    pays, bills = [], []
+    for _ in range(40):
+        tokens = [rng.choice(["inv-2024-77", "2024", "0000077", "99x", "c1 x", word(6)]) for _ in range(rng.randint(0, 4))]
+        pays.append(dict(counterparty="Acme", remittance="", remittance_bare="", party_clean="acme", tokens=tokens, tokens_lower=tokens, tokens_isolated=[rng.choice(["", x[-4:]]) for x in tokens]))
+        number = rng.choice(["inv-2024-78", "2025", "0000078", "98x", word(6)])
+        bills.append(dict(shown=number, customer=rng.choice(["", "Acmf"]), number=number, number_bare="", number_isolated=number[-4:], customer_clean="acmf"))
+    pairs = [(p, i) for p in range(40) for i in range(40)]
+    got = list(fuzzy.score_pairs(pays, bills, *(np.array(x) for x in zip(*pairs))))
+    assert len(got) == len(pairs)
+    for (p, i), found in zip(pairs, got):
+        pay, bill = pays[p], bills[i]
+        best = max((fuzzy.token_similarity(t, s, bill["number"], bill["number_isolated"]) for t, s in zip(pay["tokens_lower"], pay["tokens_isolated"])), default=0.0)
+        near = fuzzy.company_similarity("acme", "acmf") if bill["customer"] else 0.0
+        assert found[0] == (best if best >= 0.85 else 0.70 if near >= 0.80 else max(best, near * 0.6)) and found[4] == near
